@@ -20,7 +20,7 @@ from ticklane.llm.common import SPACE, checkpointed, shuffle_width, words
 #: The weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MAX_EPOCHS = 150, 2
-ROWS_A_RANGE, BROADCAST_SOURCES = 20_000, 10_000
+ROWS_A_RANGE, BROADCAST_SOURCES = 2_000, 10_000
 
 
 def sizes(documents: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklane.llm import chat, decontam, html_text, langid, licenses, mixing, quality, toxicity
+from ticklane.llm import chat, decontam, html_text, langid, licenses, lm, mixing, neardup, quality, toxicity
 from ticklane.llm.common import remainder, table
 
 
@@ -39,6 +39,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, mixing.targets(sized)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score_texts(documents, lm.learnable)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -74,7 +84,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_html_extraction, op3_language_id, op4_mixing, op7_quality_rules, op8_license_scan, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_html_extraction, op3_language_id, op4_mixing, op5_lm_scoring, op6_near_dedup, op7_quality_rules, op8_license_scan, op9_decontamination, op10_toxicity)}
 
 _STUFF = r"""regexp_replace({0}, '([<\[])(=*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|eot_id\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1=\2\3', 'g')"""
 
@@ -114,6 +124,24 @@ placed AS (
     CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS epochs
   FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + least(greatest(floor(target) - epochs * source_size - before, 0), size) AS BIGINT) AS taken FROM placed""",
+    # candidates by their least shingle sets: two sets this alike share one of the first 20 % + 1 shingles in hash order
+    "op6_near_dedup": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+cut AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM docs),
+grams AS (SELECT DISTINCT doc_id, hash(g) AS g FROM cut),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+counts AS (SELECT g, count(*) AS seen FROM grams GROUP BY g),
+ordered AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY seen, g) AS r FROM grams JOIN sizes USING (doc_id) JOIN counts USING (g)),
+prefix AS (SELECT doc_id, g, n FROM ordered WHERE r <= n - ceil(0.8 * n) + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+shared AS (SELECT a, b, any_value(na) AS na, any_value(nb) AS nb, count(*) AS k FROM pairs JOIN grams x ON x.doc_id = a JOIN grams y ON y.doc_id = b AND y.g = x.g GROUP BY a, b),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 80 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, e.b FROM reached r JOIN both_ways e ON e.a = r.b),
+least_reached AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM docs LEFT JOIN sizes USING (doc_id) JOIN least_reached USING (doc_id)""",
     "op9_decontamination": r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
