@@ -5,11 +5,10 @@ uniform share, mixed with weights that depend on how often the context v was see
 weights come from expectation-maximisation on a part of the training texts held back from the counts: its own counts are
 deleted (subtracted) from those of all training texts.
 
-Counting and look-up are one exchange. Texts are worked in batches of some two million tokens; a batch sends each slice of
-the key space the sorted distinct keys (64-bit hashes of words and of pairs) it has, with their counts, as one packed
-row, so that a word as common as you like is one number from each batch. A slice adds up all batches and answers each with
-the totals of its keys. The answers are written to the shared folder, and meet the batches again by a hash of their
-contents. What a slice holds grows with the input and falls with the number of slices, which follows the number of rows.
+Counting and look-up are one exchange. Texts are worked in batches of some megabytes; a batch sends each slice of the key
+space the sorted distinct keys (64-bit hashes of words and of pairs) it has, with their counts, as one packed row, so that
+a word as common as you like is one number from each batch. A slice adds up all batches and answers each with the totals
+of its keys. The answers are written to the shared folder, and meet the texts again by a hash of the batch's contents. What a slice holds grows with the input and falls with the number of slices, which follows the number of rows.
 
 Null and empty texts are the end token alone; rows repeat as often as in the input; with no training text all counts
 are 0 and the score is the uniform one. The input must read the same twice (a stored table does); if it doesn't, the query
@@ -24,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm import spans as S
 from ticklane.llm.common import checkpointed, remainder, shuffle_width
 
-BATCH_TOKENS, ROWS_A_SLICE = 2_000_000, 4_000
+BATCH_BYTES, ROWS_A_SLICE = 5_000_000, 4_000
 #: Words have even keys, pairs odd ones.
 BEGIN, END = np.uint64(2), np.uint64(4)
 BUCKETS, BIN, LOWEST = 48, 0.05, -999
@@ -39,65 +39,75 @@ UNUSED, TRAIN, TUNE = 0, 1, 2
 
 @dataclass
 class Tokens:
-    """Some texts as tokens: key of each token (the last of a text is END), of the pair with the token before, text number."""
+    """Some texts as tokens, the last of each text END: the distinct keys in order, and of each token the numbers of its
+    key, of the key before it (BEGIN for the first) and of the pair's key; tokens in each text."""
 
+    keys: np.ndarray
     word: np.ndarray
+    before: np.ndarray
     pair: np.ndarray
-    text: np.ndarray
-    n: int
-
-    @property
-    def first(self) -> np.ndarray:
-        out = np.ones(len(self.text), bool)
-        out[1:] = self.text[1:] != self.text[:-1]
-        return out
-
-
-def tokens(parts: list[S.Texts]) -> Tokens:
-    words, owners, n = [], [], 0
-    for texts in parts:
-        start, end, text = texts.runs(S.SPACES)
-        words.append(S.span_hashes(S.LOWERED[texts.data], start, end) & ~np.uint64(1))
-        owners.append(text + n)
-        n += len(texts)
-    owner, word = np.concatenate(owners), np.concatenate(words)
-    out = np.full(len(word) + n, END, np.uint64)
-    out[np.arange(len(word)) + owner] = word
-    count = np.bincount(owner, minlength=n) + 1
-    text = np.repeat(np.arange(n), count)
-    before = np.concatenate([[BEGIN], out[:-1]])
-    before[np.cumsum(count) - count] = BEGIN
+    sizes: np.ndarray
+
+
+def tokens(texts: S.Texts) -> Tokens:
+    n = len(texts)
+    start, end, text = texts.runs(S.SPACES)
+    hashes = S.span_hashes(S.LOWERED[texts.data], start, end) & ~np.uint64(1)
+    word = np.full(len(hashes) + n, END, np.uint64)
+    word[np.arange(len(hashes)) + text] = hashes
+    sizes = np.bincount(text, minlength=n) + 1
+    before = np.concatenate([[BEGIN], word[:-1]])
+    begins = np.cumsum(sizes) - sizes
+    before[begins] = BEGIN
     with np.errstate(over="ignore"):
-        pair = S.mixed(before * np.uint64(0x9E3779B97F4A7C15) + S.mixed(out)) | np.uint64(1)
-    return Tokens(out, pair, text, n)
+        pair = S.mixed(before * np.uint64(0x9E3779B97F4A7C15) + S.mixed(word)) | np.uint64(1)
+    keys, number = np.unique(np.concatenate([word, pair, [BEGIN]]), return_inverse=True)
+    of_word, of_pair = number[: len(word)], number[len(word) : -1]
+    of_before = np.concatenate([number[-1:], of_word[:-1]])
+    of_before[begins] = number[-1]
+    return Tokens(keys, of_word, of_before, of_pair, sizes)
 
 
-def batches(stream, only: int | None) -> Iterator[tuple[pa.Array, np.ndarray, Tokens, str]]:
-    """Of Arrow batches (doc_id, text, part): ids, parts, tokens and name of each batch; those of the tuning part apart."""
+def batches(stream, only: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, S.Texts, str]]:
+    """Of Arrow batches (doc_id, text, part): rows, parts, texts and name of each batch; those of the tuning part apart."""
     for batch in stream:
         part = batch.column(2).to_numpy(zero_copy_only=False)
-        for tune in (False, True):
-            if only is not None and tune != (only == TUNE):
-                continue
+        for tune in (True,) if only == TUNE else (False, True):
             rows = np.flatnonzero((part == TUNE) == tune)
-            if not len(rows):
-                continue
-            own = batch.take(pa.array(rows))
-            held: list[S.Texts] = []
-            size = at = 0
-            for texts in S.pieces(own.column(1)):
-                held.append(texts)
-                size += len(texts.data)
-                if size > 6 * BATCH_TOKENS or texts.first + len(texts) == len(rows):
-                    n = sum(map(len, held))
-                    made = tokens(held)
-                    name = hashlib.blake2b(made.word.tobytes() + part[rows[at : at + n]].tobytes(), digest_size=12).hexdigest()
-                    yield own.column(0).slice(at, n), part[rows[at : at + n]], made, name
-                    held, size, at = [], 0, at + n
-
-
-def keys_of(t: Tokens) -> np.ndarray:
-    return np.unique(np.concatenate([t.word, t.pair, [BEGIN]]))
+            if len(rows):
+                own, of = batch.take(pa.array(rows)), part[rows]
+                for texts in S.pieces(own.column(1), BATCH_BYTES):
+                    at = slice(texts.first, texts.first + len(texts))
+                    name = hashlib.blake2b(texts.data.tobytes() + texts.bounds.tobytes() + of[at].tobytes(), digest_size=12).hexdigest()
+                    yield own.slice(texts.first, len(texts)), of[at], texts, name
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype(np.uint64).tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), np.uint64).astype(np.int64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """The first key and the steps between sorted keys, which take six bytes in all but the smallest batches."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    wide = len(steps) and int(steps.max()) >> 48
+    return keys[:1].tobytes() + (steps.tobytes() if wide else steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+
+
+def unpacked_keys(blob: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(blob, np.uint8)[8:]
+    steps = np.zeros((n - 1, 8), np.uint8)
+    if n > 1:
+        steps[:, : len(raw) // (n - 1)] = raw.reshape(n - 1, -1)
+    with np.errstate(over="ignore"):
+        return np.cumsum(np.concatenate([np.frombuffer(blob[:8], np.uint64), steps.view(np.uint64).ravel()]), dtype=np.uint64)
 
 
 def slice_cuts(keys: np.ndarray, slices: int) -> np.ndarray:
@@ -108,17 +118,16 @@ def slice_cuts(keys: np.ndarray, slices: int) -> np.ndarray:
 
 def requests(slices: int):
     def run(stream):
-        for _, part, t, name in batches(stream, None):
-            keys = keys_of(t)
-            used = (part != UNUSED)[t.text]
-            seen = np.zeros(len(keys), np.int64)
-            for x in (t.word[used], t.pair[used], np.full(int((part != UNUSED).sum()), BEGIN)):
-                seen += np.bincount(np.searchsorted(keys, x), minlength=len(keys))
-            held = seen.astype(np.uint32) if (part == TUNE).any() else np.zeros(len(keys), np.uint32)
-            cuts = slice_cuts(keys, slices)
-            cut = lambda x: [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for _, part, texts, name in batches(stream, None):
+            t = tokens(texts)
+            used = np.repeat(part != UNUSED, t.sizes)
+            seen = np.bincount(t.word[used], minlength=len(t.keys)) + np.bincount(t.pair[used], minlength=len(t.keys))
+            seen[np.searchsorted(t.keys, BEGIN)] += int((part != UNUSED).sum())
+            held = seen if (part == TUNE).any() else np.zeros_like(seen)
+            cuts = slice_cuts(t.keys, slices)
+            cut = lambda x, pack: [pack(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * slices), pa.array(range(slices), pa.int32()), pa.array(cut(keys)), pa.array(cut(seen.astype(np.uint32))), pa.array(cut(held))],
+                [pa.array([name] * slices), pa.array(range(slices), pa.int32()), pa.array(cut(t.keys, packed_keys), pa.binary()), pa.array(cut(seen, packed), pa.binary()), pa.array(cut(held, packed), pa.binary())],
                 ["batch", "slice", "keys", "seen", "held"],
             )
 
@@ -128,19 +137,19 @@ def requests(slices: int):
 def answer(table: pa.Table) -> pa.Table:
     """Totals of one slice: for each row the counts of its keys over all rows; and one row of the slice's own sums."""
     names, parts = table.column("batch").to_pylist(), table.column("slice").to_pylist()
-    read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    keys = read("keys", np.uint64)
+    seen, held = ([unpacked(x) for x in table.column(name).to_pylist()] for name in ("seen", "held"))
+    keys = [unpacked_keys(x, len(n)) for x, n in zip(table.column("keys").to_pylist(), seen, strict=True)]
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    total = lambda name: np.bincount(which, weights=np.concatenate(read(name, np.uint32)), minlength=len(distinct)).astype(np.int64)
-    seen, held = total("seen"), total("held")
+    total = lambda parts: np.bincount(which, weights=np.concatenate(parts), minlength=len(distinct)).astype(np.int64)
+    seen, held = total(seen), total(held)
     word = (distinct & np.uint64(1) == 0) & (distinct != BEGIN) & (seen > 0)
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    back = lambda x: [y.tobytes() for y in np.split(x[which], cuts)]
+    back = lambda x: [packed(y) for y in np.split(x[which], cuts)]
     own = [int(seen[word].sum()), int(word.sum()), int(held[word].sum())]
     return pa.table(
         {
-            "batch": pa.array([*names, None], pa.string()), "slice": pa.array([*parts, parts[0]], pa.int32()), "seen": pa.array([*back(seen.astype(np.uint64)), b""], pa.binary()),
-            "held": pa.array([*back(held.astype(np.uint32)), b""], pa.binary()), "sums": pa.array([*[None] * len(names), own], pa.list_(pa.int64())),
+            "batch": pa.array([*names, None], pa.string()), "slice": pa.array([*parts, parts[0]], pa.int32()), "seen": pa.array([*back(seen), b""], pa.binary()),
+            "held": pa.array([*back(held), b""], pa.binary()), "sums": pa.array([*[None] * len(names), own], pa.list_(pa.int64())),
         }
     )
 
@@ -149,35 +158,29 @@ ANSWER = "batch string, slice int, seen binary, held binary, sums array<long>"
 
 
 def carried(only: int | None):
-    """The batches again, with their keys as numbers: what ``looked_up`` needs."""
+    """The batches again, whole: ids and texts."""
 
     def run(stream):
-        for ids, _, t, name in batches(stream, only):
-            keys = keys_of(t)
-            number = lambda x: np.searchsorted(keys, x).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([np.bincount(t.text, minlength=t.n).astype(np.uint32).tobytes()]), pa.array([number(t.word).tobytes()]), pa.array([number(t.pair).tobytes()]), pa.array([int(np.searchsorted(keys, BEGIN))], pa.int64())],
-                ["batch", "ids", "sizes", "words", "pairs", "begin"],
-            )
+        for own, _, _, name in batches(stream, only):
+            lists = [pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(i)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), *lists], ["batch", "ids", "texts"])
 
     return run
 
 
 def looked_up(rows: pa.Table, answers: pa.Table) -> Iterator[tuple[list, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """Of each carried batch: ids, tokens in each text, and counts (word, context, pair) of all training texts and of the tuning part."""
+    """Of each batch: ids, tokens in each text, and counts (word, context, pair) in all training texts and in the tuning part."""
     if rows.num_rows and not answers.num_rows:
         raise ValueError("the input didn't read the same twice; write it to a table first")
-    order = np.argsort(answers.column("slice").to_numpy(), kind="stable")
-    _, one = np.unique(answers.column("slice").to_numpy()[order], return_index=True)  # equal batches have equal answers
-    order = order[one].tolist()
-    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in answers.column(name).take(order).to_pylist()]).astype(np.int64)
-    seen, held = joined("seen", np.uint64), joined("held", np.uint32)
+    if not rows.num_rows:
+        return
+    _, one = np.unique(answers.column("slice").to_numpy(), return_index=True)  # equal batches have equal answers
+    seen, held = (np.concatenate([unpacked(x) for x in answers.column(name).take(pa.array(one)).to_pylist()]) for name in ("seen", "held"))
     for i in range(rows.num_rows):
-        get = lambda name: np.frombuffer(rows.column(name)[i].as_py(), np.uint32)  # noqa: E731, B023
-        sizes, word, pair = get("sizes"), get("words"), get("pairs")
-        before = np.concatenate([[0], word[:-1]]).astype(np.int64)
-        before[np.cumsum(sizes) - sizes] = rows.column("begin")[i].as_py()
-        yield rows.column("ids")[i].as_py(), sizes.astype(np.int64), [x[k] for x in (seen,) for k in (word, before, pair)], [x[k] for x in (held,) for k in (word, before, pair)]
+        column = rows.column("texts").chunk(0).slice(i, 1).flatten() if rows.column("texts").num_chunks == 1 else pa.concat_arrays(rows.column("texts").slice(i, 1).chunks).flatten()
+        (texts,) = S.pieces(column, 1 << 62)
+        t = tokens(texts)
+        yield rows.column("ids")[i].as_py(), t.sizes, [seen[k] for k in (t.word, t.before, t.pair)], [held[k] for k in (t.word, t.before, t.pair)]
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -265,7 +268,7 @@ def score_texts(documents: DataFrame, part_of) -> DataFrame:
     sums = answers.where(F.col("batch").isNull()).agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(3))).first()
     total, types, tuned = (int(x or 0) for x in sums)
     replies = answers.where(F.col("batch").isNotNull()).drop("sums").groupBy("batch")
-    again = lambda only: rows.mapInArrow(carried(only), f"batch string, ids array<{kind}>, sizes binary, words binary, pairs binary, begin long").groupBy("batch")
+    again = lambda only: rows.mapInArrow(carried(only), f"batch string, ids array<{kind}>, texts array<string>").groupBy("batch")
     bins = again(TUNE).cogroup(replies).applyInArrow(tuning_bins(max(total - tuned, 1), types), "bucket long, by_pair long, by_word long, n long")
     cells = bins.groupBy("bucket", "by_pair", "by_word").agg(F.sum("n").alias("n")).toPandas().to_numpy()
     weights = learned_weights(cells)

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes handled at once; one longer text is handled alone.
 PIECE = 4_000_000
+#: Texts in a piece at most, so that 16 bits number them.
+PIECE_TEXTS = 60_000
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -77,7 +79,7 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[Texts]:
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + limit, side="right")) - 1)
-        last = min(last, len(column))
+        last = min(last, len(column), first + PIECE_TEXTS)
         yield Texts(raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], first)
         first = last
 
@@ -116,7 +118,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     full = np.flatnonzero(n > 0)
     if len(full):
         s, length = start[full], n[full]
-        place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        place = np.arange(int(length.sum()), dtype=np.int32 if data.size < 1 << 31 else np.int64)
+        place -= np.repeat((np.cumsum(length) - length).astype(place.dtype), length)
         taken = data[np.repeat(s, length) + place] if (data.size != place.size) else data
         with np.errstate(over="ignore"):
             terms = (taken.astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[place]
