@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklane.llm.common import checkpointed
+from ticklane.llm.common import checkpointed, shuffle_width
 
-MAX_ROUNDS = 60
+MAX_ROUNDS, EDGES_A_TASK = 60, 20_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """Large: each node ties its larger neighbours to the least of its neighbours and itself. Small: its lesser ones."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = both if large else both.where("b < a")
@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         tied = tied.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
         tied = tied.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
-    return tied.where("a <> b").distinct()
+    # few edges don't need many tasks, each with its shuffle files
+    return tied.where("a <> b").coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,8 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     last = mark(edges)
+    tasks = min(shuffle_width(edges.sparkSession), 1 + last[0] // EDGES_A_TASK)
+    edges = edges.coalesce(tasks)
     for _ in range(MAX_ROUNDS if last[0] else 0):
-        edges = checkpointed(_star(_star(edges, large=True), large=False))
+        edges = checkpointed(_star(_star(edges, True, tasks), False, tasks).distinct().coalesce(tasks))
         now = mark(edges)
         if now == last:
             break

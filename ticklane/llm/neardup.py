@@ -5,10 +5,11 @@ groups; of each minimum only the low BITS bits are kept, packed in a signature,
 with the correction for chance agreement. What may reach the threshold is confirmed on the full sets of the two texts.
 
 Texts with equal sets are one node, so that copies never meet each other. In each candidate group the members are first
-held against the least one only. Where a group still has members in different components after that, the pairs that lie
-across components are compared too; pairs inside one component cannot change the result. So large groups of near copies
-cost their size, not its square, and no link that the bands find is lost (a pair at 0.8 shares one of the 32 bands of 5
-with probability 1 - 3e-6).
+held against the least one only. Groups that still have members in different components after that are gathered to
+clusters, and pairs that lie across components are compared block by block inside tasks, first by signatures, then by
+full sets; only links leave a task, and pairs inside one component, which cannot change the result, are skipped. So large
+groups of near copies cost their size, not its square, and no link that the bands find is lost (a pair at 0.8 shares one
+of the 32 bands of 5 with probability 1 - 3e-6).
 
 Null and empty texts have no set and link with nothing. Rows with a null id are alone: no component, kept. Rows with equal
 ids are one document. An empty table gives an empty result.
@@ -29,9 +30,11 @@ from ticklane.llm.components import components
 
 MINIMA, BITS, BANDS = 160, 2, 32
 WORDS = MINIMA * BITS // 64
-#: Estimates have a standard deviation of 0.038 at 0.8; this leaves more than six of them.
-LEAST_ESTIMATE = 0.55
+#: Estimates have a standard deviation of 0.038 at 0.8; this leaves more than five of them.
+LEAST_ESTIMATE = 0.6
 BROADCAST_IDS = 1_000_000
+#: Nodes of a cluster in a block.
+BLOCK = 512
 
 
 def shingle_sets(texts: S.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,10 +50,10 @@ def shingle_sets(texts: S.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((count > 0) & (count < k))
     lone = [S.rolling(words[first[i] : first[i] + count[i]], int(count[i])) for i in short]
     owner = np.concatenate([text[: len(grams)][whole], short])
-    key = S.within_text(owner, np.concatenate([grams[whole], *lone]), n)
-    key = np.unique(key)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    return key << bits, (key >> (np.uint64(64) - bits)).astype(np.int64)
+    # 48 bits of hash, so that all pieces give the same; 16 of text number
+    key = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (np.concatenate([grams[whole], *lone]) >> np.uint64(16)))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64)
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +145,17 @@ def _split(text: str) -> list[str]:
     return [w for w in text.translate(_ASCII).translate(_SPACES).split(" ") if w]
 
 
+def texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with these distinct ids."""
+    few = ids.count() <= BROADCAST_IDS
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough: 100 * intersection >= percent * union."""
     pairs = checkpointed(pairs)
     ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = checkpointed(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+    texts = checkpointed(texts_of(ids, documents))
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -169,6 +177,64 @@ def confirmed(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> D
     return checkpointed(two.mapInArrow(check, f"a {kind}, b {kind}").distinct())
 
 
+def links_across(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of a block pair that lie across components and whose sets overlap enough."""
+    get = lambda name: rows.column(name).to_numpy()
+    block, left, component = get("block"), get("low"), get("component")
+    signature = np.array(rows.column("signature").to_pylist(), np.int64).view(np.uint64)
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    size = np.array(list(map(len, sets)))
+    same_block = bool(left[0] == get("high")[0])
+    firsts = np.arange(len(block)) if same_block else np.flatnonzero(block == left[0])
+    seconds = np.arange(len(block)) if same_block else np.flatnonzero(block != left[0])
+    _, code = np.unique(component, return_inverse=True)
+    found = []
+    for i in firsts:
+        others = seconds[(code[seconds] != code[i]) & ((seconds > i) | (not same_block))]
+        others = others[100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])]
+        x = signature[others] ^ signature[i]
+        apart = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
+        chance = 0.5**BITS
+        others = others[((1 - apart / MINIMA) - chance) / (1 - chance) >= LEAST_ESTIMATE]
+        for j in others:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (size[i] + size[j] - both):
+                found.append((i, j))
+    return tuple(np.array(found, int).reshape(-1, 2).T)
+
+
+def cross_links(unsettled: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) across components among nodes (band, node, component, signature) of unsettled groups."""
+    to_least = unsettled.join(unsettled.groupBy("band").agg(F.min("node").alias("least")), "band").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    cluster = components(to_least).withColumnRenamed("component", "cluster")
+    nodes = unsettled.select("node", "component", "signature").dropDuplicates(["node"]).join(cluster, "node")
+    blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    ids = checkpointed(nodes.select(F.col("node").alias("doc_id")))
+
+    def start():
+        def work(column):
+            made = []
+            for texts in S.pieces(column):
+                hashes, owner = shingle_sets(texts, k)
+                made += [x.tobytes() for x in np.split(hashes, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])]
+            return {"shingles": pa.array(made, pa.binary())}
+
+        return work
+
+    sets = map_texts(texts_of(ids, documents), "text", ["doc_id"], "shingles binary", start).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+    placed = nodes.join(blocks, "cluster").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "signature", "shingles")
+    kind = unsettled.schema["node"].dataType.simpleString()
+
+    def compare(rows: pa.Table) -> pa.Table:
+        a, b = links_across(rows, percent)
+        node = rows.column("node")
+        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+
+    return paired.groupBy("cluster", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reached by links) and kept for each row of documents (doc_id, text)."""
     sketched = checkpointed(sketches(documents, k))
@@ -191,13 +257,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     # groups of three and more whose members are in different components yet: pairs across them
     parts = placed.where("size > 2").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = parts.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    open_ = checkpointed(parts.join(mixed, "band").select("band", "node", "hub", "component").join(sign, "node"))
-    if not open_.isEmpty():
-        a = open_.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("sa"))
-        b = open_.where("node <> hub").select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("signature").alias("sb"), "hub")
-        # pairs with the hub are done
-        across = a.join(b, "band").where((F.col("a") != F.col("hub")) & (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & (estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE))
-        more = confirmed(across.select("a", "b").distinct(), documents, k, percent)
+    unsettled = checkpointed(parts.join(mixed, "band").select("band", "node", "component").join(sign, "node"))
+    more = None if unsettled.isEmpty() else confirmed(cross_links(unsettled, documents, k, percent), documents, k, percent)
+    if more is not None and not more.isEmpty():
         of = components(links.unionByName(more))
     by_set = nodes.select("set_key", "node").join(of, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     found = sketched.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
