@@ -49,7 +49,7 @@ def states(dense: DataFrame, n: int = 5) -> DataFrame:
     rows = rows.withColumn("path", F.when(F.count("close").over(longer) == n + 1, path)).withColumn("dd", drawdown(F.col("path")))
     rows = rows.withColumn("price_return", 100 * (F.col("close") / F.get("path", F.lit(0))["v"] - 1))
     return rows.select(
-        "code", "i", "status", "valid", "positive_days", "level", X.rounded("delta").alias("delta"), X.rounded("weighted").alias("weighted"), X.rounded("slope").alias("slope"),
+        "code", "i", "status", "valid", "positive_days", "level", X.rounded("delta").alias("delta"), X.rounded("weighted").alias("weighted"), X.rounded("slope", 6).alias("slope"),
         "streak", "left_censored", "improve", "worsen", X.rounded("amount_change").alias("amount_change"), X.rounded("amount_relative").alias("amount_relative"),
         X.rounded("price_return").alias("price_return"), X.rounded("dd.dd").alias("drawdown"), F.col("dd.peak").cast("long").alias("peak_i"), F.col("dd.trough").cast("long").alias("trough_i"),
     )

@@ -98,7 +98,7 @@ pairs AS (SELECT e.code, e.i, a.i AS peak, z.i AS trough, 100 * (z.close / a.clo
 least_dd AS (SELECT code, i, min(dd) AS dd FROM pairs GROUP BY ALL),
 worst AS (SELECT p.code, p.i, p.dd, min(p.peak) AS peak, min(p.trough) AS trough FROM pairs p JOIN least_dd l USING (code, i, dd) GROUP BY ALL)
 SELECT w.code, w.i, CASE WHEN s.valid = 5 THEN 'AVAILABLE' ELSE 'PARTIAL' END AS status, s.valid, s.positive_days, level, {R("level - before")} AS delta, CASE WHEN s.valid = 5 THEN {R("100 * s.net / s.amount")} END AS weighted,
- CASE WHEN s.valid = 5 THEN {R("s.slope")} END AS slope, CASE WHEN level IS NOT NULL THEN least(w.i - t + 1, 5) END AS streak, coalesce(level IS NOT NULL AND w.i - t + 1 >= 5, false) AS left_censored,
+ CASE WHEN s.valid = 5 THEN {R("s.slope", 6)} END AS slope, CASE WHEN level IS NOT NULL THEN least(w.i - t + 1, 5) END AS streak, coalesce(level IS NOT NULL AND w.i - t + 1 >= 5, false) AS left_censored,
  CASE WHEN level IS NOT NULL THEN least(w.i - nu, 4) END AS improve, CASE WHEN level IS NOT NULL THEN least(w.i - nd, 4) END AS worsen,
  CASE WHEN w.amount > 0 AND amount_before > 0 THEN {R("100 * (w.amount / amount_before - 1)")} END AS amount_change, {R("100 * (w.amount / prior.m - 1)")} AS amount_relative,
  CASE WHEN path.k = 6 THEN {R("100 * (w.close / path.first - 1)")} END AS price_return, CASE WHEN path.k = 6 THEN coalesce({R("worst.dd")}, 0.0) END AS drawdown, worst.peak AS peak_i, worst.trough AS trough_i
