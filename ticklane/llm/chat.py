@@ -70,12 +70,13 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     parents = nodes.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id")).distinct()
     leaves = state.join(parents, "id", "left_anti")
     best = Window.partitionBy("top").orderBy(F.desc("total"), "id")
-    chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
+    chosen = checkpointed(leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches))
     # every chosen leaf walks up: after step k the path holds all nodes less than 2 ** (k + 1) above the leaf
     path = chosen.select(F.col("id").alias("path_id"), "branch", F.col("id").alias("id"), F.col("depth").alias("depth"))
     for k in range(len(jumps) - 1, -1, -1):
         up = jumps[k].where(F.col("far").isNotNull())
-        path = path.unionByName(path.join(up, "id").select("path_id", "branch", F.col("far").alias("id"), (F.col("depth") - F.lit(2**k)).alias("depth")))
+        # the union reads the path twice, so each step is cut off
+        path = checkpointed(path.unionByName(path.join(up, "id").select("path_id", "branch", F.col("far").alias("id"), (F.col("depth") - F.lit(2**k)).alias("depth"))))
     return path
 
 
