@@ -92,8 +92,8 @@ class LanguageModel:
         """Span labels of all words of a piece, and letters of each word."""
         cells, script, starts, text = letters_of(texts)
         sizes = np.diff(np.append(starts, len(cells)))
-        scores = np.zeros((len(starts), len(self.languages)))
-        block = 2_000_000
+        scores = np.zeros((len(starts), len(self.languages)), np.float32)
+        block = 500_000
         w = 0
         while w < len(starts):  # so many letters at a time
             upto = max(w + 1, int(np.searchsorted(starts, starts[w] + block)))

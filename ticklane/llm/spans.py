@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; one longer text is handled alone.
-PIECE = 4_000_000
+PIECE = 2_000_000
 #: Texts in a piece at most, so that 16 bits number them.
 PIECE_TEXTS = 60_000
 
