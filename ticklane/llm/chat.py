@@ -21,7 +21,6 @@ from ticklane.llm.common import checkpointed
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 CONTROL = r"([<\[])(=*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|eot_id\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)"
 STUFFED = r"([<\[])=(=*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|eot_id\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)"
-MAX_ROUNDS = 40  # paths of up to 2 ** 40 messages
 
 
 def escaped(text: Column) -> Column:
@@ -55,7 +54,8 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # total: score of the nodes from here up to, not including, far; jumps[k]: far after 2 ** k steps
     state = nodes.select("id", F.col("parent_id").alias("far"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"), F.col("id").alias("top"))
     jumps = [state.select("id", "far")]
-    for _ in range(MAX_ROUNDS):
+    # a path without a cycle is no longer than the number of nodes, and each round doubles what is passed
+    for _ in range(nodes.count().bit_length() + 1):
         ahead = state.select(F.col("id").alias("far"), F.col("far").alias("next"), F.col("total").alias("t"), F.col("depth").alias("d"), F.col("top").alias("r"))
         moving = state.where(F.col("far").isNotNull()).join(ahead, "far")
         state = checkpointed(

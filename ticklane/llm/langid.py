@@ -54,8 +54,7 @@ def letters_of(texts: S.Texts):
     """Of the letters of a piece: 4-gram cells, scripts, and where words begin; of the words: the texts they are in."""
     letter, script = tables()
     points = np.frombuffer(texts.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    heads = np.cumsum((texts.data & 0xC0) != 0x80)
-    bounds = np.concatenate([[0], heads[texts.bounds[1:] - 1] * (texts.bounds[1:] > 0)]).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])[texts.bounds]
     inside = letter[points]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
