@@ -65,6 +65,8 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) ->
             if batch.num_rows:
                 got = work(batch.column(n))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(got[name] for name in names[n:])], names)
+        del work
+        pa.default_memory_pool().release_unused()  # workers live on, and the next stage's share the executor with the JVM
 
     return source.mapInArrow(run, out)
 
