@@ -103,3 +103,27 @@ def test_calendar_gaps(spark):
 def test_duplicates_with_nulls(spark):
     rows = spark.createDataFrame([("a", 1, None), ("a", 1, None), ("a", 1, "x"), ("b", 2, "x")], "code string, t int, other string")
     assert tuple(quality.exact_duplicates(rows, ["code", "t"], "code").first()) == (1, 2, 1, 1)
+
+
+def test_stream_of_flow(spark, tmp_path):
+    from ticklane.streaming.flow import windowed_flow
+
+    schema = "code string, time timestamp, side string, amount double"
+    rows = spark.sql("SELECT * FROM VALUES ('a', timestamp'2026-01-01 09:10:00', 'B', 5D), ('a', timestamp'2026-01-01 09:50:00', '?', 1D), ('a', timestamp'2026-01-01 11:30:00', 'S', 2D) AS t(code, time, side, amount)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = windowed_flow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "time")
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("flow_test").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.known_net, r.unknown, r.net, r.trades) for r in spark.table("flow_test").collect())
+    assert got == [(-2.0, 0.0, -2.0, 1), (5.0, 1.0, None, 2)]
+
+
+def test_native_trades(spark, tmp_path):
+    c = readers.TRADE_COLUMNS
+    names = [c[k] for k in ("code", "trade_day", "t", "trade_id", "price", "qty", "side", "bid_id", "ask_id")]
+    rows = [("000001.SZ", "20260922", "93000000", "1", "100000", "10", "B", "0", "9"), ("000001.SZ", "20260922", "126000000", "2", "100000", "10", None, "3", "4"), ("000001.SZ", "20260922", "93000003", "3", "100000", "999", "C", "3", "4"), ("000001.SZ", "20260921", "93000000", "4", "100000", "999", "B", "3", "4")]
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "d"))
+    got = readers.native_trades(spark, str(tmp_path / "d"), "20260922")
+    assert sorted((r.side or "", r.amount, r.pid) for r in got.collect()) == [("", 100.0, None), ("B", 100.0, 0)]
+    assert len(readers.fingerprint(spark.read.parquet(str(tmp_path / "d")))) == 64
