@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BATCH_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, through Spark's reader only, so that any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +48,17 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % modulus
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to ARROW_BYTES, where it is above.
+
+    A task holds a batch in the JVM, outside its heap, and again in its Python worker, in parts more than once, so Spark's
+    64 MB would be several times that for each core. A longer text is a batch of its own."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", spark.conf.get(BATCH_SETTING).strip().lower()).groups()
+    size = int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit[:1], 0)
+    if not 0 < size <= ARROW_BYTES:
+        spark.conf.set(BATCH_SETTING, str(ARROW_BYTES))
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) -> DataFrame:
     """Add columns made from a text column, batch by batch, in Arrow.
 
@@ -58,6 +74,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) ->
     source = df.select(*[df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(kept)], df[f"`{text}`"].cast("string").alias("t"))
     out = T.StructType([*(T.StructField(c, df.schema[c].dataType, True) for c in kept), *made])
     n, names = len(kept), [f.name for f in out]
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         work = start()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm import spans as S
-from ticklane.llm.common import checkpointed, remainder, shuffle_width
+from ticklane.llm.common import bounded_batches, checkpointed, remainder, shuffle_width
 
 BATCH_BYTES, ROWS_A_SLICE = 5_000_000, 4_000
 #: Words have even keys, pairs odd ones.
@@ -260,6 +260,7 @@ def learnable(doc_id):
 def score_texts(documents: DataFrame, part_of) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row (doc_id, text)."""
     spark = documents.sparkSession
+    bounded_batches(spark)  # from here on, so that both reads are cut into the same batches
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), part_of(F.col("doc_id")).alias("part"))
     slices = max(2 * shuffle_width(spark), documents.count() // ROWS_A_SLICE)
