@@ -14,6 +14,7 @@ PATTERNS = {
     "soldiers": (8, 1, False), "crows": (8, -1, False), "morning": (8, 1, False), "evening": (8, -1, False), "bull_engulf": (8, 1, False), "bear_engulf": (8, -1, False),
     "hammer": (8, 1, False), "shooting": (8, -1, False), "breakout": (21, 1, False), "breakdown": (21, -1, False), "box_support": (21, 1, True),
     "pullback": (40, 1, True), "triangle": (40, 0, True), "flag": (40, 1, True), "round": (60, 1, True), "cup": (90, 1, True),
+    "retest": (21, 1, False), "failed": (21, -1, False), "double_bottom": (60, 1, True), "double_top": (60, -1, True), "head_bottom": (90, 1, True), "head_top": (90, -1, True),
 }
 
 
@@ -101,19 +102,99 @@ def detect(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
     return rows.select("code", "i", F.explode("found").alias("f")).select("code", "i", "f.*")
 
 
+def after_breakouts(bars: DataFrame) -> DataFrame:
+    """Retests and failures of breakouts in the ten sessions after them, each breakout's first; columns as of detect."""
+    rows = prepared(bars).withColumn("since", F.col("i") - F.col("run"))
+    broke = detect(bars, ["breakout"]).select("code", F.col("i").alias("d"), "start_i", "trigger", "stop")
+    days = broke.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("i", F.col("d") + F.col("k"))
+    ahead = days.join(rows.select("code", "i", "since", "h", "l", "c", "vr"), ["code", "i"])
+    upto = Window.partitionBy("code", "d").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = ahead.withColumn("unbroken", F.first("since").over(upto) == F.col("since")).withColumn("high", F.max("h").over(upto))
+    ahead = ahead.withColumn("lost", F.max(F.when(F.col("k") > 0, F.col("c") < F.col("stop")).otherwise(F.lit(False))).over(upto)).where("unbroken AND k > 0")
+    held = ~F.col("lost") & (F.abs(F.col("l") / F.col("trigger") - 1) <= 0.03) & (F.col("c") >= F.col("trigger")) & (F.col("vr") < 1)
+    out = []
+    for kind, rule, stop in (("retest", held, F.col("stop")), ("failed", F.col("c") < 0.995 * F.col("trigger"), F.col("high"))):
+        first = ahead.where(rule).groupBy("code", "d").agg(F.min(F.struct("i", "start_i", "trigger", stop.alias("stop"))).alias("f"))
+        out.append(first.select("code", "f.i", F.lit(kind).alias("kind"), "f.start_i", "f.trigger", "f.stop"))
+    return out[0].unionByName(out[1])
+
+
+def turning_points(bars: DataFrame) -> DataFrame:
+    """Local extremes (code, since, side: 1 low, -1 high; i, v) that two bars on either side confirm; since names the run."""
+    w = Window.partitionBy("code", "since").orderBy("i")
+    rows = prepared(bars).withColumn("since", F.col("i") - F.col("run")).withColumn("last", F.max("i").over(Window.partitionBy("code", "since")))
+    sides = []
+    for side, x in ((1, F.col("l")), (-1, -F.col("h"))):
+        turn = (x < F.least(F.lag(x, 1).over(w), F.lag(x, 2).over(w))) & (x <= F.least(F.lead(x, 1).over(w), F.lead(x, 2).over(w)))
+        inner = (F.col("run") > 2) & (F.col("i") + 2 <= F.col("last"))  # least() passes over nulls
+        sides.append(rows.withColumn("turn", turn).where(inner & F.col("turn")).select("code", "since", "last", F.lit(side).alias("side"), "i", F.abs(x).alias("v")))
+    return sides[0].unionByName(sides[1])
+
+
+def double_and_head(bars: DataFrame) -> DataFrame:
+    """Double bottoms and tops from the last two turning points, head and shoulders from the last three, each at the first
+    session that shows it; columns as of detect. A pair stays the last one until two bars after the next turning point."""
+    w = Window.partitionBy("code", "since", "side").orderBy("i")
+    points = turning_points(bars)
+    points = points.withColumn("next", F.lead("i").over(w))
+    for k in (1, 2):
+        points = points.withColumn(f"i{k}", F.lag("i", k).over(w)).withColumn(f"v{k}", F.lag("v", k).over(w))
+    bars_at = prepared(bars).select("code", F.col("i").alias("at"), "h", "l")
+    found = []
+    v, v1, v2, low = F.col("v"), F.col("v1"), F.col("v2"), F.col("side") == 1
+    for k, names, least in ((1, ("double_bottom", "double_top"), 60), (2, ("head_bottom", "head_top"), 90)):
+        start = F.col(f"i{k}")
+        if k == 1:
+            shape = (F.col("i") - F.col("i1")).between(5, 40) & (F.abs(v1 / v - 1) <= 0.04)
+            edge = F.when(low, F.least(v1, v)).otherwise(F.greatest(v1, v))
+        else:
+            shape = (F.col("i") - F.col("i1")).between(5, 30) & (F.col("i1") - F.col("i2")).between(5, 30) & (F.abs(v2 / v - 1) <= 0.04)
+            shape = shape & F.when(low, v1 < 0.97 * F.least(v2, v)).otherwise(v1 > 1.03 * F.greatest(v2, v))
+            edge = v1
+        seen = F.greatest(F.col("i") + 2, F.col("since") + least)
+        until = F.least(F.col("i") + 15, F.coalesce(F.col("next") + 1, F.col("last")), F.col("last"))
+        pairs = points.where(shape & (seen <= until)).select("code", "side", "i", start.alias("start_i"), seen.alias("seen"), edge.alias("edge"))
+        between = pairs.withColumn("at", F.explode(F.sequence("start_i", "i"))).join(bars_at, ["code", "at"])
+        necks = between.groupBy("code", "side", "i", "start_i", "seen", "edge").agg(F.max("h").alias("top"), F.min("l").alias("floor"))
+        rows = necks.withColumn("trigger", F.when(low, F.col("top")).otherwise(F.col("floor")))
+        if k == 1:
+            rows = rows.where(F.when(low, F.col("trigger") / F.col("edge") - 1).otherwise(F.col("edge") / F.col("trigger") - 1) >= 0.05)
+        stop = F.col("edge") * F.when(low, 0.995).otherwise(1.005)
+        found.append(rows.select("code", F.col("seen").alias("i"), F.when(low, names[0]).otherwise(names[1]).alias("kind"), "start_i", "trigger", stop.alias("stop")))
+    return found[0].unionByName(found[1])
+
+
+def detections(bars: DataFrame) -> DataFrame:
+    """All 22 patterns: those of window frames, of earlier breakouts and of turning points."""
+    return detect(bars).unionByName(after_breakouts(bars)).unionByName(double_and_head(bars))
+
+
 def followed(bars: DataFrame, horizon: int = 20) -> DataFrame:
     """Detections with their stage after at most ``horizon`` sessions: confirmed_i, invalidated_i and stage. A later gap stops
     the following (unknown)."""
-    events = detect(bars)
+    events = detections(bars)
     later = prepared(bars).select("code", F.col("i").alias("later"), F.col("c").alias("close"), F.col("vr").alias("vr_then"), "run")
-    ahead = events.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(horizon)))).withColumn("later", F.col("i") + F.col("h")).join(later, ["code", "later"]).where((F.col("h") == 0) | (F.col("run") > F.col("h")))
+    ahead = events.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(horizon)))).withColumn("later", F.col("i") + F.col("h")).join(later, ["code", "later"])
     way = reduce(lambda a, kv: a.when(F.col("kind") == kv[0], kv[1][1]), PATTERNS.items(), F.when(F.lit(False), 0))
     forming = F.col("kind").isin([k for k, v in PATTERNS.items() if v[2]])
     out = (F.col("h") > 0) & (((way > 0) & (F.col("close") < F.col("stop"))) | ((way < 0) & (F.col("close") > F.col("stop"))))
     through = forming & (F.col("vr_then") >= 1.2) & (((way > 0) & (F.col("close") > 1.005 * F.col("trigger"))) | ((way < 0) & (F.col("close") < 0.995 * F.col("trigger"))))
-    ends = ahead.groupBy("code", "i", "kind").agg(F.min(F.when(out, F.col("later"))).alias("invalidated_i"), F.min(F.when(through, F.col("later"))).alias("through"), F.max("later").alias("seen"))
-    joined = events.join(ends, ["code", "i", "kind"])
+    whole = (F.col("h") == 0) | (F.col("run") > F.col("h"))  # no gap since the detection
+    at = lambda x: F.min(F.when(whole & x, F.col("later")))
+    ends = ahead.groupBy("code", "i", "kind", "start_i").agg(at(out).alias("invalidated_i"), at(through).alias("through"), F.max(F.when(whole, F.col("later"))).alias("seen"), F.max("later").alias("reach"))
+    joined = events.join(ends, ["code", "i", "kind", "start_i"])
     confirmed = F.when(forming, F.when(F.col("invalidated_i").isNull() | (F.col("through") < F.col("invalidated_i")), F.col("through"))).otherwise(F.col("i"))
     rows = joined.withColumn("confirmed_i", confirmed)
     stage = F.when(F.col("invalidated_i").isNotNull(), "invalidated").when(F.col("confirmed_i").isNotNull(), "confirmed").otherwise("forming")
-    return rows.select("code", "i", "kind", "start_i", "confirmed_i", "invalidated_i", stage.alias("stage"))
+    unknown = F.col("invalidated_i").isNull() & (F.col("reach") > F.col("seen"))
+    return rows.select("code", "i", "kind", "start_i", "confirmed_i", "invalidated_i", stage.alias("stage"), "trigger", "stop", unknown.alias("lifecycle_unknown"))
+
+
+def recent(bars: DataFrame, last: int, scan: int = 60, active: int = 20) -> DataFrame:
+    """Events that were detected, confirmed or invalidated in the last ``scan`` sessions up to ``last``, with whether they are
+    still followed, and how far (percent) the last close is from the trigger; null where that session has no bar."""
+    now = prepared(bars).where(F.col("i") == last).select("code", F.col("c").alias("close"))
+    rows = followed(bars.where(F.col("i") <= last), active)
+    rows = rows.where(F.greatest("i", "confirmed_i", "invalidated_i") > last - scan).join(now, "code", "left")
+    is_active = (F.lit(last) - F.col("i") <= active) & ~F.col("lifecycle_unknown")
+    return rows.withColumn("active", is_active).withColumn("distance", 100 * (F.col("close") / F.nullif(F.col("trigger"), F.lit(0.0)) - 1)).drop("close")
