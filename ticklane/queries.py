@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklane.functions import exprs as X
-from ticklane.plans import filters, flow, micro, patterns, quality, state, study
+from ticklane.plans import calibration, filters, flow, micro, minutes, patterns, quality, state, study
 from ticklane.sources import domain as D
 
 QUERIES, SQL = {}, {}
@@ -345,3 +345,72 @@ def null_safe_join(spark: SparkSession, sf: str) -> DataFrame:
     a = D.table(spark, sf, "customer").select(F.nullif("c_nationkey", F.lit(3)).alias("nation"), F.nullif("c_mktsegment", F.lit("HOUSEHOLD")).alias("segment"))
     b = D.table(spark, sf, "supplier").select(F.nullif("s_nationkey", F.lit(3)).alias("n")).distinct()
     return a.join(b, a["nation"].eqNullSafe(b["n"])).groupBy("nation", "segment").agg(F.count("*").alias("pairs"))
+
+
+_SIDES = "CASE l_returnflag WHEN 'A' THEN 'B' WHEN 'R' THEN 'S' ELSE '?' END"
+_CLOCKED = "t > 0 AND t // 10000000 < 24"
+
+
+@query(f"""WITH t AS (SELECT l_partkey % 10 AS code, {_SIDES} AS side, l_partkey AS pid, day(l_shipdate) * 10000000 AS t FROM lineitem WHERE l_returnflag <> 'N' AND l_partkey > 0),
+o AS (SELECT o_custkey % 10 AS code, CASE o_orderstatus WHEN 'F' THEN 'B' ELSE 'S' END AS side, o_custkey AS k, day(o_orderdate) * 10000000 AS t FROM orders),
+g AS (SELECT code, k, count(*) AS n, count(DISTINCT side) AS sides, bool_or(side = 'B') AS hb, bool_or(side = 'S') AS hs, min(t) AS ot FROM o WHERE k > 0 GROUP BY ALL),
+a AS (SELECT code, CAST(sum(n) AS BIGINT) AS valid_rows, count(*) AS keys, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (sides > 1) AS multi_side FROM g GROUP BY code),
+j AS (SELECT t.code, t.t, g.n, g.ot, coalesce((t.side = 'B' AND hb) OR (t.side = 'S' AND hs), false) AS ok, coalesce(n = 1 AND {_CLOCKED.replace('t ', 't.t ')} AND {_CLOCKED.replace('t ', 'ot ')}, false) AS c FROM t LEFT JOIN g ON g.code = t.code AND g.k = t.pid),
+m AS (SELECT code, count(*) AS eligible, count(n) AS matched, count(*) FILTER (ok) AS same_side, count(*) FILTER (ok AND n = 1) AS single_same_side, count(*) FILTER (n > 1) AS repeated_matched, count(*) FILTER (n = 1) AS single_matched,
+ count(*) FILTER (c) AS comparable, count(*) FILTER (c AND ot < t) AS earlier, count(*) FILTER (c AND ot = t) AS same_time, count(*) FILTER (c AND ot > t) AS later FROM j GROUP BY code),
+r AS (SELECT code, count(*) AS order_rows FROM o GROUP BY code)
+SELECT code, 'AVAILABLE' AS status, order_rows, eligible, valid_rows, keys, repeated, multi_side, matched, same_side, single_same_side, repeated_matched, single_matched, comparable, earlier, same_time, later FROM m JOIN a USING (code) JOIN r USING (code)""")
+def order_key_audit(spark: SparkSession, sf: str) -> DataFrame:
+    clock = lambda c: (F.dayofmonth(c) * 10_000_000).cast("long").alias("t")
+    side = F.when(F.col("l_returnflag") == "A", "B").when(F.col("l_returnflag") == "R", "S").otherwise("?")
+    trades = D.table(spark, sf, "lineitem").select((F.col("l_partkey") % 10).alias("code"), side.alias("side"), F.col("l_partkey").alias("pid"), clock("l_shipdate"))
+    orders = D.table(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("code"), F.when(F.col("o_orderstatus") == "F", "B").otherwise("S").alias("side"), F.col("o_custkey").alias("k"), clock("o_orderdate"))
+    return calibration.key_audit(trades, orders, "k")
+
+
+@query(f"""WITH x AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 600000 + l_suppkey % 900 ELSE 1 + l_suppkey % 900 END AS code, l_extendedprice AS p, l_quantity AS q, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 9 END AS side, l_orderkey AS b, l_partkey AS s FROM lineitem WHERE l_discount < 0.05)
+SELECT CASE WHEN code >= 600000 THEN 'SH' ELSE 'SZ' END AS exchange, count(*) AS "rows", count(*) FILTER (side < 2) AS known, count(*) FILTER (b > 0 AND s > 0 AND b <> s) AS comparable, count(*) FILTER ((side = 0 AND b > s) OR (side = 1 AND s > b)) AS agreement,
+ {R("sum(p * q / 100)", 2)} AS amount FROM x WHERE p > 0 AND q > 0 GROUP BY ALL""")
+def id_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    code = F.when(F.col("l_suppkey") % 2 == 0, 600000 + F.col("l_suppkey") % 900).otherwise(1 + F.col("l_suppkey") % 900)
+    side = F.when(F.col("l_discount") >= 0.05, -1).when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1).otherwise(9)
+    rows = D.table(spark, sf, "lineitem").select(code.alias("SecuCode"), F.col("l_extendedprice").alias("Price"), F.col("l_quantity").alias("Volume"), side.alias("Side"), F.col("l_orderkey").alias("BuyID"), F.col("l_partkey").alias("SellID"))
+    return rounded(calibration.id_agreement(rows), amount=2)
+
+
+_MINUTE = "us // 60000000 % 1440"
+_SLOTS = f"""SELECT code, us // 86400000000 AS day, {_MINUTE} // 60 * 100 + {_MINUTE} % 60 AS time, max(value) AS v FROM ({D.STREAM}) WHERE {_MINUTE} BETWEEN 571 AND 690 OR {_MINUTE} BETWEEN 781 AND 900 GROUP BY ALL"""
+
+
+def _minutes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.stream(spark, sf).withColumn("m", F.expr("us div 60000000 % 1440")).where("m BETWEEN 571 AND 690 OR m BETWEEN 781 AND 900")
+    return rows.groupBy("code", F.expr("us div 86400000000").alias("day"), F.expr("m div 60 * 100 + m % 60").alias("time")).agg(F.max("value").alias("close")).withColumn("volume", F.lit(1.0))
+
+
+@query(f"""WITH m AS ({_SLOTS}), p AS (SELECT a.code, a.day, a.time AS peak, z.time AS trough, 100 * (z.v / a.v - 1) AS dd FROM m a JOIN m z ON a.code = z.code AND a.day = z.day AND a.time < z.time AND z.v < a.v),
+w AS (SELECT code, day, min(dd) AS dd FROM p GROUP BY ALL), s AS (SELECT code, day, count(*) AS traded, min(v) AS low, max(v) AS high FROM m GROUP BY ALL)
+SELECT code, day, 'OBSERVED' AS status, traded, low, high, coalesce({R("dd")}, 0.0) AS within FROM s LEFT JOIN w USING (code, day)""")
+def minute_paths(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _minutes(spark, sf)
+    factors = rows.select("code", "day").distinct().withColumn("factor", F.lit(1.0))
+    return rounded(minutes.day_paths(rows, factors).select("code", "day", "status", "traded", "low", "high", "within"), within=4)
+
+
+@query(f"""WITH m AS ({_SLOTS}), d AS (SELECT max(day) AS last FROM m), n AS (SELECT m.*, day * 10000 + time AS pos FROM m, d WHERE day > last - 3), c AS (SELECT DISTINCT code FROM m),
+x AS (SELECT code, pos, v FROM n UNION ALL SELECT code, 0, 100.0 FROM c), p AS (SELECT a.code, min(100 * (z.v / a.v - 1)) AS dd FROM x a JOIN x z ON a.code = z.code AND a.pos < z.pos AND z.v < a.v GROUP BY a.code),
+s AS (SELECT code, count(*) AS traded, count(DISTINCT day) AS days FROM n GROUP BY code), k AS (SELECT count(DISTINCT day) AS k FROM n)
+SELECT code, CASE WHEN coalesce(days, 0) = k THEN 'OBSERVED' ELSE 'INCOMPLETE_MINUTES' END AS status, CASE WHEN coalesce(days, 0) = k THEN coalesce({R("dd")}, 0.0) END AS drawdown, coalesce(traded, 0) AS traded, 240 * k AS expected, k - coalesce(days, 0) AS missing
+FROM c CROSS JOIN k LEFT JOIN s USING (code) LEFT JOIN p USING (code)""")
+def minute_window(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _minutes(spark, sf)
+    last = rows.agg(F.max("day")).first()[0]
+    days = minutes.day_paths(rows, rows.select("code", "day").distinct().withColumn("factor", F.lit(1.0)))
+    window = rows.where(F.col("day") > last - 3).select("day").distinct()
+    base = rows.select("code").distinct().withColumn("baseline", F.lit(100.0))
+    return rounded(minutes.over_window(days, base, window).select("code", "status", "drawdown", "traded", "expected", "missing"), drawdown=4)
+
+
+@query()
+def recent_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    bars = D.bars(spark, sf)
+    return rounded(patterns.recent(bars, bars.agg(F.max("i")).first()[0]), distance=4)
