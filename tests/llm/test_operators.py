@@ -64,6 +64,18 @@ def test_html(html, expected):
     assert html_text.main_text(html) == expected
 
 
+@pytest.mark.parametrize("attr", ["class=content-sidebar-wrap", "class='has-sidebar'", "class=no-sidebar", "class=menu-open", "id=legal-guide"])
+@pytest.mark.parametrize("tag", ["main", "article", "div"])
+def test_html_layout_wrappers_named_like_unwanted_blocks(attr, tag):
+    text, ad = "the quick brown fox jumps over the lazy dog", "<div class=ad>buy now</div><div class=sidebar><p>a short note</p></div>"
+    page = f"<body><div {attr}><{tag}><p>{text}</p><p>{text}</p>{ad}</{tag}></div>{ad}<p class=notice>cookies</p></body>"
+    assert html_text.main_text(page) == f"{text}\n\n{text}"
+
+
+def test_html_advert_longer_than_a_short_article():
+    assert html_text.main_text("<body><div class=ad>a long advert of many words about nothing</div><article><p>short</article></body>") == "short"
+
+
 def test_html_query_keeps_rows(spark):
     rows = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>hello world</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract_main_text(rows).collect()) == ["", "hello world"]

@@ -2,7 +2,8 @@
 
 A page becomes a tree of elements (closing tags that HTML lets authors leave out are supplied). Elements that are never
 content (scripts, forms, menus ...) and those whose class or id names an advert, a notice, a comment and the like are cut
-out first. Every other node gets a density: its characters per tag, adjusted by how many of its characters and tags are
+out first; by its name no element goes that holds an article or main, or, holding blocks or where there is no article or main, most of the body's characters
+outside links. Every other node gets a density: its characters per tag, adjusted by how many of its characters and tags are
 links, relative to the body. A node's density sum is the sum over its children. The node with the largest sum is the main
 subtree; the threshold is the least density on its path to the body, and each other branch at or above the threshold
 gives the subtree of largest sum inside it. If an enclosing article or main element holds the main subtree, all of it is
@@ -41,10 +42,10 @@ BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut", "named")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.cut = tag, parent, [], False
+        self.tag, self.parent, self.children, self.cut, self.named = tag, parent, [], False, False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -71,7 +72,8 @@ class TreeBuilder(HTMLParser):
             self.at.children.append(" ")
             return
         node = Node(tag, self.at)
-        node.cut = tag in NEVER or unwanted(tag, attrs, node)
+        inside = within_article(node)
+        node.cut, node.named = tag in NEVER or unwanted(tag, attrs, inside), named_unwanted(tag, attrs, inside)
         self.at.children.append(node)
         if tag == "body":
             self.body = node
@@ -107,12 +109,17 @@ class TreeBuilder(HTMLParser):
         return True
 
 
-def unwanted(tag: str, attrs, node: Node) -> bool:
-    """By role, class or id; and page headers, of which those inside an article or main stay."""
-    inside = False
+def within_article(node: Node) -> bool:
     up = node.parent
-    while up is not None and not inside:
-        inside, up = up.tag in ("article", "main"), up.parent
+    while up is not None:
+        if up.tag in ("article", "main"):
+            return True
+        up = up.parent
+    return False
+
+
+def unwanted(tag: str, attrs, inside: bool) -> bool:
+    """By role or as hidden; and page headers, of which those inside an article or main stay."""
     if tag == "header" and not inside:
         return True
     for name, value in attrs:
@@ -122,13 +129,49 @@ def unwanted(tag: str, attrs, node: Node) -> bool:
             return True
         if name == "role" and value.lower() in UNWANTED_ROLES:
             return True
-        if name in ("class", "id"):
+    return False
+
+
+def named_unwanted(tag: str, attrs, inside: bool) -> bool:
+    """A word of its class or id is in the list; what the element holds tells whether it goes."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    for name, value in attrs:
+        if value and name in ("class", "id"):
             found = {w.lower() for part in WORD.findall(value) for w in CAMEL.split(part)} & UNWANTED
             if found - ({"header"} if inside else set()):
                 return True
     return False
 
 
+def cut_named(body: Node) -> None:
+    """Cut the named elements, but those that hold an article or main or most of the body's characters outside links.
+
+    Beside an article or main, most of the characters doesn't count without blocks: an advert can be longer than a short article."""
+    order, stack = [], [(body, False)]
+    while stack:
+        node, link = stack.pop()
+        link = link or node.tag == "a"
+        order.append((node, link))
+        stack.extend((c, link) for c in node.children if not isinstance(c, str) and not c.cut)
+    if not any(node.named for node, _ in order):
+        return
+    plain: dict[int, int] = {}
+    holds: set[int] = set()
+    wraps: set[int] = set()
+    for node, link in reversed(order):
+        n = 0 if link else sum(len(BLANK.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        below = [c for c in node.children if not isinstance(c, str) and not c.cut]
+        plain[id(node)] = n + sum(plain[id(c)] for c in below)
+        if any(c.tag in ("article", "main") or id(c) in holds for c in below):
+            holds.add(id(node))
+        if any(c.tag in BLOCKS or id(c) in wraps for c in below):
+            wraps.add(id(node))
+    for node, _ in order:
+        most = plain[id(node)] * 2 > plain[id(body)] and (id(node) in wraps or id(body) not in holds)
+        node.cut = node.named and id(node) not in holds and not most
+
+
 def measure(root: Node) -> list[Node]:
     """Count characters, tags, link characters and link tags below each node (cut ones left out); nodes, parents first."""
     order, stack = [], [root]
@@ -235,6 +278,7 @@ def main_text(html: str | None) -> str:
         for c in late:
             c.parent = body
     body.parent = None
+    cut_named(body)
     return "\n\n".join(t for node in main_nodes(body) for t in block_texts(node))
 
 
