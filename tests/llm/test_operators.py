@@ -72,6 +72,26 @@ def test_html_layout_wrappers_named_like_unwanted_blocks(attr, tag):
     assert html_text.main_text(page) == f"{text}\n\n{text}"
 
 
+LINE, LINKS = "the quick brown fox jumps over the lazy dog " * 6, "<ul>" + "<li><a href=x>some other story</a>" * 8 + "</ul>"
+BODY = "".join(f"<p>{i} {LINE}</p>" for i in range(6))
+PLAIN = [f"{i} {LINE}".strip() for i in range(6)]
+
+
+@pytest.mark.parametrize("html, expected", [
+    (f"<main><h1>T</h1><article>{BODY}</article><section><p>the rest</p></section></main>", ["T", *PLAIN, "the rest"]),
+    (f"<body><article>{BODY}</article><div><p>beside {LINE}</p></div><div>{LINKS}</div></body>", [*PLAIN, f"beside {LINE}".strip()]),
+    (f"<body>{LINKS}<h1>A title of forty characters or thereabouts</h1><div>{BODY}</div></body>", ["A title of forty characters or thereabouts", *PLAIN]),
+    (f"<body><div><div class=title><h1>Title</h1></div><p>by me</p><div>{BODY}</div>{LINKS}</div></body>", ["Title", "by me", *PLAIN]),
+    (f"<body><div>{BODY}</div><h2>Next</h2>loose <b>words</b><ul><li>low</ul>{LINKS}<div>{BODY}</div>{LINKS}</body>", [*PLAIN, "Next", "loose words", "low", *PLAIN]),
+    (f"<body><section>{BODY}</section><div><section><p>two {LINE}</p></section><section><p>three {LINE}</p></section></div></body>", [*PLAIN, f"two {LINE}".strip(), f"three {LINE}".strip()]),
+    (f"<body><div>{BODY}</div>{LINKS}{LINE * 3}</body>", [*PLAIN, (LINE * 3).strip()]),
+    (f"<body><div>{BODY}</div><div>{LINE * 3}{LINKS}</div></body>", [*PLAIN, (LINE * 3).strip()]),
+    (f"<body>{LINE * 3}<br><br>{LINE * 2}</body>", [(LINE * 5).strip()]),
+])
+def test_html_density_on_all_branches(html, expected):
+    assert html_text.main_text(html).split("\n\n") == expected
+
+
 def test_html_advert_longer_than_a_short_article():
     assert html_text.main_text("<body><div class=ad>a long advert of many words about nothing</div><article><p>short</article></body>") == "short"
 

@@ -5,9 +5,11 @@ content (scripts, forms, menus ...) and those whose class or id names an advert,
 out first; by its name no element goes that holds an article or main, or, holding blocks or where there is no article or main, most of the body's characters
 outside links. Every other node gets a density: its characters per tag, adjusted by how many of its characters and tags are
 links, relative to the body. A node's density sum is the sum over its children. The node with the largest sum is the main
-subtree; the threshold is the least density on its path to the body, and each other branch at or above the threshold
-gives the subtree of largest sum inside it. If an enclosing article or main element holds the main subtree, all of it is
-taken. The text of these subtrees is given out block by block, in page order.
+subtree; the threshold is the least density on its path to the body, and each other branch at or above the threshold, on
+any level, gives the subtree of largest sum inside it, and so on in what is left of the branch. Text that stands directly in
+an element counts as a branch of its own. If article or main elements enclose a chosen subtree, all of the outermost is taken
+(but named blocks of mostly links). A heading before a chosen subtree of the same parent is taken too, and so is what stands
+between two chosen ones, if it isn't mostly links. The text is given out block by block, in page order.
 
 Null and empty pages give the empty text; of nodes with equal sums the first in page order wins; rows repeat as often as
 in the input.
@@ -204,8 +206,8 @@ def densities(order: list[Node], body: Node) -> None:
         node.total = sum(x.density for x in node.children if not isinstance(x, str)) or node.density
 
 
-def main_nodes(body: Node) -> list[Node]:
-    """Roots of the subtrees that hold the main text, in page order."""
+def keep_main(body: Node) -> None:
+    """Leave below the body only what belongs to the main text."""
     order = measure(body)
     densities(order, body)
     best = max(order, key=lambda n: n.total)
@@ -213,29 +215,101 @@ def main_nodes(body: Node) -> list[Node]:
     while up is not body and up.parent is not None:
         up = up.parent
         threshold = min(threshold, up.density)
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    chosen = {id(up or best): up or best}
+    chosen: set[int] = set()
     above: set[int] = set()
-    for n in chosen.values():
-        while n is not None:
-            above.add(id(n))
-            n = n.parent
+
+    def outermost(node: Node) -> Node | None:
+        top, up = None, node
+        while up is not None:
+            if up.tag in ("article", "main") and (node is best or up.link_chars * 2 < up.chars):
+                top = up
+            up = up.parent
+        return top
+
+    def choose(node: Node) -> None:
+        top = outermost(node) or node
+        chosen.add(id(top))
+        lead_to(top.parent)
+
+    def lead_to(node: Node | None) -> None:
+        while node is not None and id(node) not in above:
+            above.add(id(node))
+            node = node.parent
+
+    choose(best)
     stack = [body]
     while stack:
         node = stack.pop()
         if id(node) in chosen or not node.chars:
             continue
-        if id(node) in above:
+        if id(node) not in above and node.density >= threshold > 0 and node.link_chars * 2 < node.chars:
+            choose(max((n for n in nodes_below(node) if n.link_chars * 2 < n.chars), key=lambda n: n.total))
+            if id(node) in above:
+                stack.append(node)  # its other branches
+        else:
             stack.extend(c for c in node.children if not isinstance(c, str))
-        elif node.density >= threshold > 0 and node.link_chars * 2 < node.chars and (up is None or node.tag in ("article", "main")):
-            top = max(measure_below(node), key=lambda n: n.total)
-            chosen[id(top)] = top
-    return [n for n in order if id(n) in chosen]
+            if node.tag != "a" and any(dense(c, threshold) for c in node.children if isinstance(c, str)):
+                choose(node) if outermost(node) else lead_to(node)
+    if id(body) not in chosen:
+        prune(body, chosen, above, threshold)
+    for node in nodes_below(body):  # a wrapper's name doesn't tell, but a block of links is no article
+        node.children = [c for c in node.children if isinstance(c, str) or not c.named or id(c) in above or c.link_chars * 2 < c.chars]
+
+
+def prune(body: Node, chosen: set[int], above: set[int], threshold: float) -> None:
+    """Drop the branches off the paths to the chosen nodes, but chosen ones, headings before them and what lies between."""
+    items, stack = [], [(body, c) for c in reversed(body.children)]
+    while stack:
+        parent, c = stack.pop()
+        if not isinstance(c, str) and id(c) in above and id(c) not in chosen:
+            stack.extend((c, x) for x in reversed(c.children))
+        else:
+            items.append((parent, c))
+    kept = []
+    ahead: set[int] = set()  # elements in which a chosen branch follows
+    for parent, c in reversed(items):
+        if isinstance(c, str):
+            take = parent.tag != "a" and dense(c, threshold)
+        else:
+            take = id(c) in chosen or (id(parent) in ahead and heads(c))
+        kept.append(take)
+        up = parent if take else None
+        while up is not None and id(up) not in ahead:
+            ahead.add(id(up))
+            up = up.parent
+    kept.reverse()
+    first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+    left: dict[int, list] = {}
+    for i, (parent, c) in enumerate(items):
+        between = first < i < last and (isinstance(c, str) or not c.chars or c.tag in HEADINGS or c.link_chars * 2 < c.chars)
+        if kept[i] or between:
+            left.setdefault(id(parent), []).append(c)
+    stack = [body]
+    while stack:
+        node = stack.pop()
+        mine = iter(left.get(id(node), ()))
+        at, children = next(mine, None), []
+        for c in node.children:
+            if c is at:
+                children.append(c)
+                at = next(mine, None)
+            elif not isinstance(c, str) and id(c) in above and id(c) not in chosen:
+                children.append(c)
+                stack.append(c)
+        node.children = children
+
+
+def dense(text: str, threshold: float) -> bool:
+    return len(BLANK.sub(" ", text).strip()) >= threshold > 0
+
+
+def heads(node: Node) -> bool:
+    """A heading, or a block whose characters are mostly a heading's."""
+    return node.tag in HEADINGS or sum(n.chars for n in nodes_below(node) if n.tag in HEADINGS) * 2 > node.chars
 
 
-def measure_below(node: Node) -> list[Node]:
+def nodes_below(node: Node) -> list[Node]:
+    """The node and all below it, in page order."""
     out, stack = [], [node]
     while stack:
         n = stack.pop()
@@ -279,7 +353,8 @@ def main_text(html: str | None) -> str:
             c.parent = body
     body.parent = None
     cut_named(body)
-    return "\n\n".join(t for node in main_nodes(body) for t in block_texts(node))
+    keep_main(body)
+    return "\n\n".join(block_texts(body))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
