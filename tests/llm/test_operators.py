@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from compare import same
 from ticklane.llm import chat, decontam, html_text, langid, licenses, lm, mixing, neardup, quality, spans, toxicity
-from ticklane.llm.common import table
+from ticklane.llm.common import fitting_texts, table
 from ticklane.llm.queries import ORACLE_SQL, QUERIES
 from ticklane.llm.sequences import viterbi
 
@@ -282,6 +282,16 @@ def test_toxicity(spark, odd):
     assert toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int")) is None
 
 
+@pytest.mark.parametrize("repeated", [lambda i: "same words again", lambda i: f"other words {i} again"])
+def test_fits_with_one_id_in_most_rows(spark, repeated):
+    rows = [(0, repeated(i)) for i in range(900)] + [(i, f"text {i} " + ("zzyzxq qwrtpl " * 5 if i % 2 else "plain words ") * 3) for i in range(1, 40)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)], "doc_id long, toxic int, quality int")
+    got = fitting_texts(documents, labels.select("doc_id", "toxic"), "toxic", 30, 16_000).collect()
+    assert {r.doc_id for r in got} == set(range(40)) and len(got) == len({(r.doc_id, r.text) for r in got}) <= 120
+    assert toxicity.fit(documents, labels, per_class=30) is not None and quality.fit(documents, labels, per_class=30) is not None
+
+
 def test_pipeline_stages(spark, odd):
     import corpus_pipeline as p
 

@@ -96,3 +96,16 @@ def fitting_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     rated = usable.join(F.broadcast(counts.select(label, (F.lit(float(per_label)) / F.col("count")).alias("rate"))), label)
     spread = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rated.where(spread < F.col("rate")).drop("rate")
+
+
+def fitting_texts(documents: DataFrame, picked: DataFrame, label: str, per_class: int, max_chars: int) -> DataFrame:
+    """Different texts (doc_id, text) of the picked ids with their label, at most ``2 * per_class`` labelled 0 and as many others.
+
+    One text of each id comes first, then the rest, both in the order of a hash, so that copies or other texts of one id
+    and rows of one class take no place from the others."""
+    short = documents.select("doc_id", "text").where(F.length("text") <= max_chars)
+    rows = checkpointed(short.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("place", F.xxhash64("doc_id", "text")))
+    first = rows.groupBy("doc_id").agg(F.min("place").alias("first"))
+    ordered = rows.join(F.broadcast(first), "doc_id").withColumn("later", F.col("place") != F.col("first")).drop("first")
+    of = lambda kind: ordered.where(kind).orderBy("later", "place").limit(2 * per_class).drop("later", "place")
+    return of(F.col(label) == 0).unionByName(of(F.col(label) != 0))

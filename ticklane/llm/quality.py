@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm import spans as S
-from ticklane.llm.common import fitting_sample, map_texts
+from ticklane.llm.common import fitting_sample, fitting_texts, map_texts
 from ticklane.llm.sequences import viterbi
 
 SYMBOLS = np.zeros(256, bool)
@@ -165,8 +165,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500, max_char
     """Fit on a bounded sample: about ``per_class`` labelled texts of each class, of up to ``max_chars`` characters; lines
     after the ``max_lines``-th of a sampled text begin another sequence."""
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = F.broadcast(fitting_sample(known, "quality", per_class))  # some thousand ids
-    rows = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(picked, "doc_id").limit(4 * per_class).toPandas()
+    picked = fitting_sample(known, "quality", per_class)  # some thousand ids
+    rows = fitting_texts(documents, picked, "quality", per_class, max_chars).toPandas()
     rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("text").reset_index(drop=True)
     sequences = []
     first = 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm import spans as S
-from ticklane.llm.common import fitting_sample, map_texts, remainder
+from ticklane.llm.common import fitting_sample, fitting_texts, map_texts, remainder
 
 WINDOW, STRIDE, LEVEL, GRAM, GRAM_BITS, TOP = 8, 4, 3, 5, 22, 14
 
@@ -151,8 +151,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 4000, max_char
 
     A document with labels that differ counts as toxic. One text in three calibrates, the others train dictionaries."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = F.broadcast(fitting_sample(known, "toxic", per_class))  # some thousand ids
-    rows = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(picked, "doc_id").limit(4 * per_class).toPandas()
+    picked = fitting_sample(known, "toxic", per_class)  # some thousand ids
+    rows = fitting_texts(documents, picked, "toxic", per_class, max_chars).toPandas()
     rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("text").reset_index(drop=True)
     third = rows.index.to_numpy() % 3 == 0
     train_on, calibrate = rows[~third], rows[third]
