@@ -136,6 +136,16 @@ def test_language_held_out_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_language_of_long_texts_only(spark):
+    rows = [(i, "de", "der lange text mit vielen worten " * 4) for i in range(40)] + [(100 + i, "xx", "zogu wabi muke tolo " * 8) for i in range(40)]
+    rows += [(200 + i, "yy", None if i else "quaru pliko senna drovi " * 8) for i in range(40)] + [(300 + i, "de", "zogu wabi " * 50) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs, per_language=40, max_chars=150)
+    assert model.languages == ["de", "xx", "yy"]
+    fresh = spark.createDataFrame([(1, "muke tolo zogu wabi"), (2, "mit vielen worten"), (3, "senna drovi quaru")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.label_languages(fresh, model).collect()} == {1: "xx", 2: "de", 3: "yy"}
+
+
 def test_mixing_edges(spark, odd):
     sized = mixing.sizes(odd)
     got = mixing.mix(sized, mixing.targets(sized)).collect()

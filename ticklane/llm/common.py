@@ -88,14 +88,19 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) ->
     return source.mapInArrow(run, out)
 
 
-def fitting_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+def fitting_sample(rows: DataFrame, label: str, per_label: int, last: Column | None = None) -> DataFrame:
     """A bounded sample of rows for fitting: about ``per_label`` of each label (of the 1000 commonest, if there are more),
-    chosen by a hash of doc_id, the same ones in each run. Rows without an id or a label are left out."""
-    usable = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    counts = usable.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000)
-    rated = usable.join(F.broadcast(counts.select(label, (F.lit(float(per_label)) / F.col("count")).alias("rate"))), label)
+    chosen by a hash of doc_id, the same ones in each run. Rows without an id or a label are left out, and rows for which
+    ``last`` holds make up only for what a label's other rows lack."""
+    last = F.lit(False) if last is None else last
+    usable = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).withColumn("last", last)
+    counts = usable.groupBy(label, "last").count().groupBy(label).agg(F.sum("count").alias("all"), F.coalesce(F.sum(F.when(~F.col("last"), F.col("count"))), F.lit(0)).alias("others"))
+    lacking = F.greatest(F.lit(0.0), F.lit(float(per_label)) - F.col("others"))
+    rates = counts.orderBy(F.desc("all"), label).limit(1000).select(
+        label, F.try_divide(F.lit(float(per_label)), F.col("others")).alias("rate"), F.try_divide(lacking, F.col("all") - F.col("others")).alias("last_rate"))
+    rated = usable.join(F.broadcast(rates), label).withColumn("rate", F.when(F.col("last"), F.col("last_rate")).otherwise(F.col("rate")))
     spread = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rated.where(spread < F.col("rate")).drop("rate")
+    return rated.where(spread < F.col("rate")).drop("rate", "last_rate", "last")
 
 
 def fitting_texts(documents: DataFrame, picked: DataFrame, label: str, per_class: int, max_chars: int) -> DataFrame:

@@ -106,10 +106,12 @@ class LanguageModel:
 
 
 def fit(documents: DataFrame, per_language: int = 1500, max_chars: int = 20_000) -> LanguageModel:
-    """Learn from a sample of about ``per_language`` texts of each lang value, of up to ``max_chars`` characters.
+    """Learn from a sample of about ``per_language`` texts of each lang value, of up to ``max_chars`` characters; longer ones
+    make up for what a value lacks.
 
     Counts are made on the executors; the driver gets languages x cells numbers at most."""
-    sample = fitting_sample(documents.select("doc_id", "lang", "text"), "lang", per_language).where(F.length("text") <= max_chars).select("lang", "text")
+    texts = documents.select("doc_id", "lang", "text").where(F.col("text").isNotNull())
+    sample = fitting_sample(texts, "lang", per_language, last=F.length("text") > max_chars).select("lang", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
