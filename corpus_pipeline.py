@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of its input whatever their
 names; the last one returns the rows of the mix: a row for each epoch of a document (column epoch, from 1), the last one cut
 at the source's exact budget, with the document's size and taken words. Columns of documents with these names go.
-Rows with equal ids stay or go together in near-dedup; all other stages decide by row.
+Near-dedup decides by id and text, all other stages by row.
 """
 
 from __future__ import annotations
@@ -44,9 +44,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
-    gone = _small(found.where("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", content.alias("content")))  # different texts of one id are no duplicates
+    found = neardup.near_duplicates(docs.select(key.alias("doc_id"), "text"), k=5, percent=80)
+    gone = _small(found.where("not kept").select(F.col("doc_id.doc_id").alias("gone_id"), "doc_id.content").distinct())
+    packed = _packed(docs).withColumn("hash", content)
+    return packed.join(gone, (F.col("hash") == F.col("content")) & (F.col("doc_id") == F.col("gone_id")), "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,6 +315,17 @@ def test_pipeline_stages(spark, odd):
     assert {r.epoch for r in mix} <= {1, 2} and all(len(re.findall(SPACE, r.text)) <= r["size"] for r in mix)
 
 
+@pytest.mark.parametrize("ids, want", [("5A 5B 7A 3B", "5A 3B"), ("5A 5B 2C", "2C 5B"), ("5A 5A 4B", "5A 5A 4B"), ("1A 2C 3A 4C 9B 8B", "1A 8B")])
+def test_near_dedup_keeps_a_text_of_each_kind(spark, ids, want):
+    import corpus_pipeline as p
+
+    base = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "AB"}
+    texts = {**base, "C": base["A"] + " end"}
+    docs = spark.createDataFrame([(int(x[0]), texts[x[1]]) for x in ids.split()], "doc_id long, text string")
+    got = sorted(f"{r.doc_id}{k}" for r in p.near_dedup(spark, docs, SF).collect() for k, t in texts.items() if t == r.text)
+    assert got == sorted(want.split())
+
+
 def test_pipeline_against_brute_force(spark):
     """The stages that SQL or Python can repeat, on what the stages before kept."""
     import corpus_pipeline as p
