@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ticklane.llm import decontam, langid, mixing, neardup, quality
 from ticklane.llm.common import checkpointed, table
 
-#: SQL has no Viterbi decoding and no learned weights, so the tests hold run() against a brute-force version.
+#: SQL has no Viterbi decoding and no learned weights, so there is no SQL; tests hold near-dedup and decontamination against brute force, not run() or the mix.
 ORACLE_SQL = None
 #: A text goes if no language has this share of its letters.
 MIN_LANGUAGE_SHARE = 0.5
