@@ -45,9 +45,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     content = F.xxhash64(F.coalesce("text", F.lit("")))
-    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", content.alias("content")))  # different texts of one id are no duplicates
-    found = neardup.near_duplicates(docs.select(key.alias("doc_id"), "text"), k=5, percent=80)
-    gone = _small(found.where("not kept").select(F.col("doc_id.doc_id").alias("gone_id"), "doc_id.content").distinct())
+    found = neardup.near_duplicates(docs.select("doc_id", "text", content.alias("content")), k=5, percent=80, keep=("content",))
+    gone = _small(found.where("not kept").select(F.col("doc_id").alias("gone_id"), "content").distinct())
     packed = _packed(docs).withColumn("hash", content)
     return packed.join(gone, (F.col("hash") == F.col("content")) & (F.col("doc_id") == F.col("gone_id")), "left_anti").select("row.*")
 

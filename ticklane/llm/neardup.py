@@ -92,7 +92,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(documents: DataFrame, k: int) -> DataFrame:
+def sketches(documents: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets; null for none), signature and bands of each document."""
 
     def start():
@@ -121,7 +121,7 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
 
         return work
 
-    return map_texts(documents, "text", ["doc_id"], "n_shingles long, set_key binary, signature array<long>, bands array<long>", start)
+    return map_texts(documents, "text", ["doc_id", *keep], "n_shingles long, set_key binary, signature array<long>, bands array<long>", start)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -235,9 +235,9 @@ def cross_links(unsettled: DataFrame, documents: DataFrame, k: int, percent: int
     return paired.groupBy("cluster", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reached by links) and kept for each row of documents (doc_id, text)."""
-    sketched = checkpointed(sketches(documents, k))
+    sketched = checkpointed(sketches(documents, k, keep))
     known = sketched.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     nodes = checkpointed(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
     members = nodes.select("node", F.explode("bands").alias("band"))
@@ -262,6 +262,6 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     if more is not None and not more.isEmpty():
         of = components(links.unionByName(more))
     by_set = nodes.select("set_key", "node").join(of, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    found = sketched.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
+    found = sketched.select("doc_id", *keep, "n_shingles", "set_key").join(by_set, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.select("doc_id", *keep, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
