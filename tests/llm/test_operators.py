@@ -282,7 +282,7 @@ def test_toxicity(spark, odd):
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
     text = lambda bad: " ".join([*rng.choice(words, 40), *(["zzyzxq", "qwrtpl"] if bad else []), *rng.choice(words, 40)])
     made = [(text(i % 2), i % 2) for i in range(900)]
-    model = toxicity.train([t for t, y in made[:600] if y], [t for t, y in made[:600] if not y], made[600:])
+    model = toxicity.train([t for t, y in made[:600] if y], [t for t, y in made[:600] if not y], made[600:], 0.5)
     fresh = [(i, text(i % 2)) for i in range(200)]
     got = {r.doc_id: r.score >= 0.5 for r in toxicity.score_toxicity(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
     assert sum(got[i] == bool(i % 2) for i in got) >= 190
