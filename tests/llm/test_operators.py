@@ -258,6 +258,75 @@ def test_quality_keeps_clean_and_rejects_junk(spark, odd):
     assert quality.apply_rules(odd, None).count() == len(ODD) and quality.apply_rules(odd.limit(0), None).count() == 0
 
 
+def test_line_field_gradient_against_brute_force():
+    """Marginals by forward and backward passes equal those summed over all labellings."""
+    rng = np.random.default_rng(8)
+    x, mask, y = rng.normal(size=(3, 4, 3)), np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 0, 0, 0]], bool), rng.integers(0, 2, (3, 4))
+    params, weight = rng.normal(size=7), np.array([0.2, 0.5, 0.3])
+
+    def log_likelihood(p):
+        w, trans, total = p[:3], p[3:].reshape(2, 2), 0.0
+        for i in range(3):
+            n = int(mask[i].sum())
+            value = lambda path: sum(x[i, t] @ w * path[t] for t in range(n)) + sum(trans[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+            total += weight[i] * (value(y[i, :n]) - math.log(sum(math.exp(value(path)) for path in np.ndindex(*[2] * n))))
+        return total
+
+    step = 1e-6
+    want = [(log_likelihood(params + step * e) - log_likelihood(params - step * e)) / (2 * step) for e in np.eye(7)]
+    assert quality.likelihood_gradient(params, x, y, mask, weight) == pytest.approx(want, abs=1e-6)
+
+
+def test_lines_of_a_mixed_text_get_mixed_labels(spark):
+    """Junk lines inside a good text are boilerplate, its own lines content, and the share counts words."""
+    sf = "/root/testdata/sf0.01"
+    documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    field = quality.fit(documents, labels)
+    good = documents.join(labels.where("quality = 1"), "doc_id").where("size(split(text, '\n')) between 3 and 12").orderBy("doc_id").limit(40).collect()
+    junk = ["a | b | c | d | e | f | g | h | i | j", "BUY!! NOW!! THE!! THIS!! AND!! THAT!! NOW!! THE!!", "x### y$$$ z%%% w*** the&&& of### and$$$ to%%%"]
+    texts = [(i, "\n".join([*own[: len(own) // 2], *junk, *own[len(own) // 2 :]])) for i, own in enumerate(r.text.split("\n") for r in good)]
+    rows = quality.apply_rules(spark.createDataFrame(texts, "doc_id long, text string"), field).collect()
+    right = n = 0
+    for r in rows:
+        lines = [x for x in r.text.split("\n") if re.search(SPACE, x)]
+        assert len(lines) == len(r.line_is_content)
+        content = sum(len(re.findall(SPACE, x)) for x, good_line in zip(lines, r.line_is_content) if good_line)
+        assert r.content_share == pytest.approx(content / r.n_words)
+        right += sum(not y for x, y in zip(lines, r.line_is_content) if x in junk)
+        n += sum(x in junk for x in lines)
+    assert right >= 0.9 * n and sum(0 < r.content_share < 1 for r in rows) >= 0.9 * len(rows)
+
+
+def test_weak_labels_by_line():
+    own = ["one two three", "four five six", "seven eight"]
+    texts = [("\n".join(["menu", f"{i} {own[i]}", f"end {i}"]), False) for i in range(3)] + [("junk\nmore junk", True)]
+    made = quality.weak_labels(texts)
+    assert [y.tolist() for _, y, kind in made if kind == 0] == [[1, 0, 0]] * 3 and [y.tolist() for _, y, kind in made if kind == 1] == [[1, 1]]
+    mixed = [(t.split("\n"), y.tolist()) for t, y, kind in made if kind == 2]
+    assert len(mixed) == 3 and all(len(t) == len(y) and all(bool(label) == (line == "menu" or "junk" in line) for line, label in zip(t, y)) for t, y in mixed)
+    copies = quality.weak_labels([(f"a b\nc d\ne f\n{i}", False) for i in range(9)])  # near copies aren't menus
+    assert all(y.sum() == 0 for _, y, _ in copies)
+
+
+def test_toxicity_dictionaries_are_of_their_class_and_thresholds_count(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    text = lambda bad: " ".join(np.insert(rng.choice(words, 60).astype("<U12"), 30, "zzyzxq" if bad else "plain"))
+    made = [(text(i % 2), i % 2) for i in range(1200)]
+    model = toxicity.train([t for t, y in made[:900] if y], [t for t, y in made[:900] if not y], made[900:], 0.5)
+    assert b"zzyzxq" in model.toxic and b"zzyzxq" not in model.ordinary and len(model.toxic) <= toxicity.TOXIC_BYTES
+    column = pa.array([t for t, _ in made[900:]] + [None, ""], pa.string())
+    counts = toxicity.window_counts(column, *model.compressors())
+    ordinary, toxic = model.compressors()
+    for i in (0, 1, 5):  # the counts are those of windows compressed one by one
+        w = made[900 + i][0].split()
+        cut = [" ".join(w[a : a + 8]) for a in range(0, len(w), 4)]
+        spaced = [(" " if a else "") + x + (" " if 4 * a + 8 < len(w) else "") for a, x in enumerate(cut)]
+        gains = [len(ordinary.compress(x.encode())) - len(toxic.compress(x.encode())) for x in spaced]
+        assert counts[i].tolist() == [sum(g >= d for g in gains) for d in range(1, toxicity.TOP + 1)] + [len(gains)]
+    assert counts[-2:].sum() == 0
+
+
 def test_licenses(spark, odd):
     texts = ["Released under the MIT License.", "licensed under the Apache License, new Version 2.0", "CC BY and cc-by; All Rights Reserved", "licensed under the sun", None, "the general public license"]
     got = {r.doc_id: r for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}

@@ -1,15 +1,21 @@
 """Quality rules: counts over words and lines, and a linear-chain conditional random field that marks each line of a text
 as content or boilerplate (Viterbi); a text whose content lines hold too small a share of its words is rejected.
 
-The field's weights are learned from a bounded sample of texts labelled good or bad as wholes: each line takes its
-text's label, and the features and the chain are left to tell the lines apart. The base rules are exact counts.
-
-Null and empty texts have no words and so fail the base rules; rows repeat as often as in the input; ties in decoding go
-to content; without labels of both classes no line is boilerplate.
+The field's weights are learned from weak labels of single lines, made from a bounded sample of texts labelled good or bad
+as wholes. Boilerplate are the lines of bad texts, and lines that stand in several texts of the sample among other neighbours
+(menus, footers, notices; lines of near copies keep their neighbours); all other lines of good texts are content. Beside the
+texts as they are, the field sees good texts with a run of a bad text's lines put in at a hash-chosen place, so that it learns
+how labels change inside a text. The base rules are exact counts.
+
+Null and empty texts have no words and so fail the base rules; a very long text is one sequence like others; rows repeat as
+often as in the input; an empty table gives an empty result; ties in decoding go to content; without labels of both classes no
+line is boilerplate. Columns named as a result are replaced by it.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +33,12 @@ ENDINGS = np.zeros(256, bool)
 ENDINGS[[ord(c) for c in ".!?:;\"')"]] = True
 UPPER, LOWER, DIGIT = S.byte_set((0x41, 0x5A)), S.byte_set((0x61, 0x7A)), S.byte_set((0x30, 0x39))
 REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 8, 20, 30, 0.5
-N_FEATURES = 12
+N_FEATURES = 14
+#: Texts in which a line stands, and the share of them in which its neighbours differ, from which it is one of many texts.
+SHARED_TEXTS, OTHER_NEIGHBOURS = 3, 0.5
+#: Lines of a bad text that are put into a good one at most.
+SPLICED_LINES = 6
+BLANKS = "\t\n\x0b\x0c\r "
 
 
 @dataclass
@@ -89,11 +100,13 @@ def measure(texts: S.Texts) -> Measured:
     cased = np.maximum(1, over(UPPER) + over(LOWER))
     twin = np.zeros(len(start), bool)
     twin[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
+    edge = line_text[1:] != line_text[:-1]
+    opens, closes = np.append(True, edge), np.append(edge, True)
     last_byte = data[end[first_word + line_words - 1] - 1] if len(line_start) else np.zeros(0, np.uint8)
     features = np.column_stack([
         np.log1p(line_words) / 5, 10 * over(SYMBOLS) / size, 10 * over(data_mask(b"|")) / size, 10 * over(data_mask(b"!")) / size,
         over(UPPER) / cased, 5 * over(DIGIT) / size, again, of_words(repeat) / np.maximum(1, line_words), ENDINGS[last_byte],
-        of_words(word_chars) / np.maximum(1, line_words) / 10, of_words(twin) / np.maximum(1, line_words), np.ones(len(line_start)),
+        of_words(word_chars) / np.maximum(1, line_words) / 10, of_words(twin) / np.maximum(1, line_words), opens[: len(line_start)], closes[: len(line_start)], np.ones(len(line_start)),
     ])
     return Measured(
         np.bincount(text, minlength=n), S.sums(word_chars, text, n), symbols[texts.bounds[1:]] - symbols[texts.bounds[:-1]],
@@ -122,40 +135,48 @@ class LineField:
         return content / np.maximum(1, m.n_words), labels
 
 
-def train_field(sequences: list[tuple[np.ndarray, int]], steps: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> LineField:
-    """Maximum likelihood by gradient steps (Adam); the gradients are marginals from forward and backward passes over all
-    sequences at once. A sequence is the features of a text's lines and the label that all of them take."""
-    length = max(len(f) for f, _ in sequences)
+def likelihood_gradient(params: np.ndarray, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient of the weighted log likelihood of the labels y (sequences x lines), from the marginals of forward and backward
+    passes over all sequences at once."""
+    length = mask.shape[1]
+    pairs = mask[:, 1:] & mask[:, :-1]
+    w, trans = params[: x.shape[2]], params[x.shape[2] :].reshape(2, 2)
+    emit = np.stack([np.zeros(mask.shape), x @ w], 2)
+    forward, backward = np.zeros_like(emit), np.zeros_like(emit)
+    forward[:, 0] = emit[:, 0]
+    for t in range(1, length):
+        moved = np.logaddexp(forward[:, t - 1, 0, None] + trans[0], forward[:, t - 1, 1, None] + trans[1]) + emit[:, t]
+        forward[:, t] = np.where(mask[:, t, None], moved, forward[:, t - 1])
+    for t in range(length - 2, -1, -1):
+        ahead = backward[:, t + 1] + emit[:, t + 1]
+        moved = np.logaddexp(trans[:, 0] + ahead[:, 0, None], trans[:, 1] + ahead[:, 1, None])
+        backward[:, t] = np.where(mask[:, t + 1, None], moved, backward[:, t + 1])
+    total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+    bad = np.exp(forward[..., 1] + backward[..., 1] - total[:, None])
+    gap = np.where(mask, y - bad, 0) * weight[:, None]
+    grad_trans = np.zeros((2, 2))
+    for a in (0, 1):
+        for b in (0, 1):
+            p = np.exp(forward[:, :-1, a] + trans[a, b] + emit[:, 1:, b] + backward[:, 1:, b] - total[:, None])
+            grad_trans[a, b] = (np.where(pairs, ((y[:, :-1] == a) & (y[:, 1:] == b)) - p, 0) * weight[:, None]).sum()
+    return np.concatenate([np.einsum("st,stf->f", gap, x), grad_trans.ravel()])
+
+
+def train_field(sequences: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> LineField:
+    """Maximum likelihood by gradient steps (Adam). A sequence is the features of a text's lines, their labels and what kind of
+    text it is; all kinds weigh the same."""
+    length = max(len(f) for f, _, _ in sequences)
     x = np.zeros((len(sequences), length, N_FEATURES))
     mask = np.zeros((len(sequences), length), bool)
     y = np.zeros((len(sequences), length), int)
-    for i, (f, label) in enumerate(sequences):
-        x[i, : len(f)], mask[i, : len(f)], y[i, : len(f)] = f, True, label
-    balance = np.where(y[:, 0] == 1, 0.5 / max(1, (y[:, 0] == 1).sum()), 0.5 / max(1, (y[:, 0] == 0).sum()))
+    for i, (f, labels, _) in enumerate(sequences):
+        x[i, : len(f)], mask[i, : len(f)], y[i, : len(f)] = f, True, labels
+    kinds = Counter(kind for *_, kind in sequences)
+    weight = np.array([1 / (len(kinds) * kinds[kind]) for *_, kind in sequences])
     params = np.zeros(N_FEATURES + 4)
     mean, square = np.zeros_like(params), np.zeros_like(params)
-    pairs = mask[:, 1:] & mask[:, :-1]
     for step in range(1, steps + 1):
-        w, trans = params[:N_FEATURES], params[N_FEATURES:].reshape(2, 2)
-        emit = np.stack([np.zeros(mask.shape), x @ w], 2)
-        forward, backward = np.zeros_like(emit), np.zeros_like(emit)
-        forward[:, 0] = emit[:, 0]
-        for t in range(1, length):
-            moved = np.logaddexp(forward[:, t - 1, 0, None] + trans[0], forward[:, t - 1, 1, None] + trans[1]) + emit[:, t]
-            forward[:, t] = np.where(mask[:, t, None], moved, forward[:, t - 1])
-        for t in range(length - 2, -1, -1):
-            ahead = backward[:, t + 1] + emit[:, t + 1]
-            moved = np.logaddexp(trans[:, 0] + ahead[:, 0, None], trans[:, 1] + ahead[:, 1, None])
-            backward[:, t] = np.where(mask[:, t + 1, None], moved, backward[:, t + 1])
-        total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        bad = np.exp(forward[..., 1] + backward[..., 1] - total[:, None])
-        gap = np.where(mask, y - bad, 0) * balance[:, None]
-        grad_trans = np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                p = np.exp(forward[:, :-1, a] + trans[a, b] + emit[:, 1:, b] + backward[:, 1:, b] - total[:, None])
-                grad_trans[a, b] = (np.where(pairs, ((y[:, :-1] == a) & (y[:, 1:] == b)) - p, 0) * balance[:, None]).sum()
-        grad = np.concatenate([np.einsum("st,stf->f", gap, x), grad_trans.ravel()]) - ridge * params
+        grad = likelihood_gradient(params, x, y, mask, weight) - ridge * params
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         params += rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return LineField(params[:N_FEATURES], params[N_FEATURES:].reshape(2, 2))
@@ -168,16 +189,44 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500, max_char
     picked = fitting_sample(known, "quality", per_class)  # some thousand ids
     rows = fitting_texts(documents, picked, "quality", per_class, max_chars).toPandas()
     rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("text").reset_index(drop=True)
-    sequences = []
-    first = 0
-    for texts in S.pieces(pa.array(rows.text, pa.string())):
+    made = weak_labels(list(zip(rows.text, (rows.quality == 0).tolist(), strict=True)))
+    sequences, first = [], 0
+    for texts in S.pieces(pa.array([text for text, *_ in made], pa.string())):
         m = measure(texts)
-        for i in range(len(texts)):
-            lines = m.line_features[m.line_text == i]
-            bad = int(rows.quality[first + i] == 0)
-            sequences += [(lines[a : a + max_lines], bad) for a in range(0, len(lines), max_lines)]
+        ends = np.cumsum(np.bincount(m.line_text, minlength=len(texts)))
+        for i, lines in enumerate(np.split(m.line_features, ends[:-1])):
+            _, labels, kind = made[first + i]
+            sequences += [(lines[a : a + max_lines], labels[a : a + max_lines], kind) for a in range(0, len(lines), max_lines)]
         first += len(texts)
-    return train_field(sequences) if len({label for _, label in sequences}) == 2 else None
+    return train_field(sequences) if rows.quality.eq(0).nunique() == 2 and sequences else None
+
+
+def weak_labels(texts: list[tuple[str, bool]]) -> list[tuple[str, np.ndarray, int]]:
+    """Texts to learn from (text, label of each line with a word, kind) from different texts that are bad or not: all of them
+    (kinds 0 and 1), and good ones with a run of a bad one's lines inside (kind 2)."""
+    split = [[line for line in text.split("\n") if line.strip(BLANKS)] for text, _ in texts]
+    stands, before, after = Counter(), defaultdict(set), defaultdict(set)
+    for lines in split:
+        around = [None, *lines, None]
+        for line in set(lines):
+            stands[line] += 1
+        for i, line in enumerate(lines):
+            before[line].add(around[i])
+            after[line].add(around[i + 2])
+    # on either side other lines each time, or the text's edge
+    varied = lambda side, n: side == {None} or len(side) >= OTHER_NEIGHBOURS * n
+    shared = {line for line, n in stands.items() if n >= SHARED_TEXTS and varied(before[line], n) and varied(after[line], n)}
+    labels = [np.array([bad or line in shared for line in lines], int) for lines, (_, bad) in zip(split, texts, strict=True)]
+    made = [("\n".join(lines), y, int(bad)) for lines, y, (_, bad) in zip(split, labels, texts, strict=True)]
+    bad_ones = [lines for lines, (_, bad) in zip(split, texts, strict=True) if bad and lines]
+    for lines, y, (text, bad) in zip(split, labels, texts, strict=True):
+        if not bad and lines and bad_ones:
+            spread = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
+            source = bad_ones[spread % len(bad_ones)]
+            begin, at = (spread >> 20) % len(source), (spread >> 40) % (len(lines) + 1)
+            run = source[begin : begin + 1 + (spread >> 10) % SPLICED_LINES]
+            made.append(("\n".join([*lines[:at], *run, *lines[at:]]), np.concatenate([y[:at], np.ones(len(run), int), y[at:]]), 2))
+    return made
 
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean, line_is_content array<boolean>"
