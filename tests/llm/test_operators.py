@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -92,6 +93,38 @@ def test_html_density_on_all_branches(html, expected):
     assert html_text.main_text(html).split("\n\n") == expected
 
 
+@pytest.mark.parametrize("attr", ["class=copyright-law", "id=legal-history", "class='related-work share-prices'", "id=comment-on-method", "class=skip-lists"])
+def test_html_names_that_only_hold_an_unwanted_word(attr):
+    html = f"<body><nav><a href=x>menu</a></nav><article>{BODY}<section {attr}><p>of that matter</p></section></article><div {attr}><p>beside {LINE}</p></div></body>"
+    assert html_text.main_text(html).split("\n\n") == [*PLAIN, "of that matter", f"beside {LINE}".strip()]
+    alone = f"<body><article {attr}>{BODY}</article></body>"
+    assert html_text.main_text(alone).split("\n\n") == PLAIN
+
+
+def test_html_hidden_forms_and_comments():
+    html = f"<body><form action=x><div>{BODY}<div hidden>secret</div><p aria-hidden=true>icon<p style=x>shown</div><select><option>a</select></form><form><label>name</label></form><div class='comments-list'>{BODY}</div><footer><p>(c) {LINE}</p></footer></body>"
+    assert html_text.main_text(html).split("\n\n") == [*PLAIN, "shown"]
+    assert html_text.main_text("<body><nav><a href=x>only</a> <a href=y>links</a></nav></body>") == "" and html_text.main_text("<article>x</article><nav><a>y</a></nav>") == "x"
+
+
+def test_html_density_decides(spark, monkeypatch):
+    """Without densities, pages keep what the density leaves out."""
+    pages = [r.html for r in table(spark, SF, "pages").collect()]
+    with_density = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "densities", lambda order: None)
+    assert sum(a != html_text.main_text(p) for a, p in zip(with_density, pages, strict=True)) >= 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("tags", ["<div>", "<b>", "<div><b>", "<ul><li>", "<a>"])
+def test_html_deep_pages(tags):
+    """50 000 elements deep, and as many end tags of an element that is open far above, in seconds."""
+    n = 50_000
+    began = time.monotonic()
+    for html in (f"<p><i>first</i>{tags * n}deep text{'</i>' * n}", f"<body>{tags * n}{LINE}{'</div></b></li></ul></a>' * n}<p>after {LINE}"):
+        assert ("deep text" if "deep" in html else "after") in html_text.main_text(html) or tags == "<a>"
+    assert time.monotonic() - began < 30
+
+
 def test_html_advert_longer_than_a_short_article():
     assert html_text.main_text("<body><div class=ad>a long advert of many words about nothing</div><article><p>short</article></body>") == "short"
 

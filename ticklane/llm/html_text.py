@@ -1,18 +1,22 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements (closing tags that HTML lets authors leave out are supplied). Elements that are never
-content (scripts, forms, menus ...) and those whose class or id names an advert, a notice, a comment and the like are cut
-out first; by its name no element goes that holds an article or main, or, holding blocks or where there is no article or main, most of the body's characters
-outside links. Every other node gets a density: its characters per tag, adjusted by how many of its characters and tags are
-links, relative to the body. A node's density sum is the sum over its children. The node with the largest sum is the main
-subtree; the threshold is the least density on its path to the body, and each other branch at or above the threshold, on
-any level, gives the subtree of largest sum inside it, and so on in what is left of the branch. Text that stands directly in
-an element counts as a branch of its own. If article or main elements enclose a chosen subtree, all of the outermost is taken
-(but named blocks of mostly links). A heading before a chosen subtree of the same parent is taken too, and so is what stands
-between two chosen ones, if it isn't mostly links. The text is given out block by block, in page order.
-
-Null and empty pages give the empty text; of nodes with equal sums the first in page order wins; rows repeat as often as
-in the input.
+A page becomes a tree of elements (closing tags that HTML lets authors leave out are supplied). What a browser doesn't show
+as text (scripts, styles, hidden elements ...) is cut. Every other node gets a density: its characters per tag, adjusted by how
+many of its characters and tags are links. Marked blocks (nav, aside, footer, forms, page headers, and
+those whose class or id says advert, sidebar, comments and the like, and nothing else) count as links, so that their density
+is 0; a block that holds an article or main, or, having blocks in it, most of the body's other characters, is not marked.
+
+A node's density sum is the sum over its children. The node with the largest sum is the main subtree; the threshold is the
+least density on its path to the body, and each other branch at or above the threshold, on any level, gives the subtree of
+largest sum inside it, and so on in what is left of the branch. Inside the outermost article or main around the main subtree
+any density above 0 is enough. Text that stands directly in an element counts as a branch of its own. Marked blocks inside a
+chosen subtree go if their density is below the threshold. A heading before a chosen subtree of the same parent is taken
+too, and so is what stands between two chosen ones, if it isn't mostly links. The text is given out block by block, in page
+order.
+
+Null and empty pages and pages of links alone give the empty text; an empty table gives an empty result; very long and very
+deep pages take time in proportion to their size; of nodes with equal sums the first in page order wins; rows repeat as often
+as in the input; columns named as a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -28,15 +32,19 @@ from ticklane.llm.common import map_texts
 
 #: HTML element names by what becomes of them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = set("script style noscript template iframe object svg canvas math head title nav footer aside form button select textarea input menu dialog audio video map".split())
+NEVER = set("script style noscript template iframe object svg canvas math head title button select textarea input audio video map".split())
+#: Elements that are not the article, and those of them that can't hold most of it.
+ASIDE = set("nav footer aside header menu dialog form".split())
+NEVER_MOST = ASIDE - {"form"}
 BLOCKS = set("address article blockquote body caption dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody tfoot thead tr ul".split())
 #: A start tag of the key closes an open element of the values, if no element of the barrier lies between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 P_BARRIER = {"td", "th", "caption", "table", "html", "body", "button", "object"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words of class and id values that mark what is not the article.
-UNWANTED = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login share sharing social comment comments reply replies respond disqus related recommended footer masthead header topbar toolbar pagination pager widget copyright legal skip".split())
+#: Words of class and id values that mark what is not the article, and words that may stand beside them.
+UNWANTED = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login comment comments disqus footer masthead header topbar toolbar pagination pager".split())
+NEUTRAL = set("site page global main top bottom left right first last primary secondary sticky fixed inline inner outer box block area section container wrapper wrap list item items row col column slot unit widget bar panel form link links user reader post thread js".split()) | set("abcdefghijklmnopqrstuvwxyz")
 UNWANTED_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alert", "menu", "menubar"}
 WORD = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -44,21 +52,26 @@ BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut", "named")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "cut", "marked", "inside")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.cut, self.named = tag, parent, [], False, False
+        self.tag, self.parent, self.children, self.cut, self.marked = tag, parent, [], False, False
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.top: Node | None = None
 
 
 class TreeBuilder(HTMLParser):
-    """Children are nodes and strings."""
+    """Children are nodes and strings. Where each kind of element is open is known at any time, so no tag costs a walk."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", None)
+        self.root = Node("html", None)
         self.body: Node | None = None
+        self.open = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]
 
     def handle_starttag(self, tag, attrs):
         if tag == "html" or (tag == "body" and self.body is not None):
@@ -68,96 +81,85 @@ class TreeBuilder(HTMLParser):
         if tag in CLOSES:
             while self._close(CLOSES[tag], BARRIER[tag]):
                 pass
-        if tag in HEADINGS and self.at.tag in HEADINGS:
-            self.at = self.at.parent or self.at
+        if tag in HEADINGS and self.open[-1].tag in HEADINGS:
+            self._pop(len(self.open) - 1)
         if tag == "br":
-            self.at.children.append(" ")
+            self.open[-1].children.append(" ")
             return
-        node = Node(tag, self.at)
-        inside = within_article(node)
-        node.cut, node.named = tag in NEVER or unwanted(tag, attrs, inside), named_unwanted(tag, attrs, inside)
-        self.at.children.append(node)
+        node = Node(tag, self.open[-1])
+        node.cut = tag in NEVER or hidden(tag, attrs)
+        node.marked = (tag in ASIDE and not (tag == "header" and node.inside)) or unwanted(tag, attrs, node.inside)
+        self.open[-1].children.append(node)
         if tag == "body":
             self.body = node
         if tag not in VOID:
-            self.at = node
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCKS:
+                self.blocks.append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in ("svg", "math", "path", "use") and self.at.tag == tag:
-            self.at = self.at.parent or self.at
+        if tag in ("svg", "math", "path", "use") and self.open[-1].tag == tag:
+            self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            if tag not in BLOCKS and node.tag in BLOCKS:  # an inline end tag doesn't close blocks
-                return
-            node = node.parent
-        if node is not None and node.parent is not None and tag not in ("body", "html"):
-            self.at = node.parent
+        at = self._last(tag)
+        if at > 0 and tag not in ("body", "html") and (tag in BLOCKS or at > self.blocks[-1]):  # an inline end tag doesn't close blocks
+            self._pop(at)
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.open[-1].children.append(data)
+
+    def _last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def _pop(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+        while self.blocks[-1] >= at > 0:
+            self.blocks.pop()
 
     def _close(self, tags, barrier) -> bool:
-        node = self.at
-        while node is not None and node.tag not in tags:
-            if node.tag in barrier:
-                return False
-            node = node.parent
-        if node is None or node.parent is None:
+        at = max(map(self._last, tags))
+        if at <= max(map(self._last, barrier)) or at <= 0:
             return False
-        self.at = node.parent
+        self._pop(at)
         return True
 
 
-def within_article(node: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return True
-        up = up.parent
-    return False
+def hidden(tag: str, attrs) -> bool:
+    return tag not in ("html", "body") and any(name == "hidden" or (name == "aria-hidden" and (value or "").lower() == "true") for name, value in attrs)
 
 
 def unwanted(tag: str, attrs, inside: bool) -> bool:
-    """By role or as hidden; and page headers, of which those inside an article or main stay."""
-    if tag == "header" and not inside:
-        return True
-    for name, value in attrs:
-        if not value or tag in ("html", "body", "article", "main"):
-            continue
-        if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value.lower() in UNWANTED_ROLES:
-            return True
-    return False
-
-
-def named_unwanted(tag: str, attrs, inside: bool) -> bool:
-    """A word of its class or id is in the list; what the element holds tells whether it goes."""
+    """By role, or because a class or the id consists of words for what is not the article."""
     if tag in ("html", "body", "article", "main"):
         return False
     for name, value in attrs:
-        if value and name in ("class", "id"):
-            found = {w.lower() for part in WORD.findall(value) for w in CAMEL.split(part)} & UNWANTED
-            if found - ({"header"} if inside else set()):
-                return True
+        if name == "role" and value and value.lower() in UNWANTED_ROLES:
+            return True
+        if name in ("class", "id") and value:
+            for token in value.split():
+                found = {w.lower() for part in WORD.findall(token) for w in CAMEL.split(part)}
+                named = found & UNWANTED - ({"header"} if inside else set())
+                if named and found <= UNWANTED | NEUTRAL:
+                    return True
     return False
 
 
-def cut_named(body: Node) -> None:
-    """Cut the named elements, but those that hold an article or main or most of the body's characters outside links.
-
-    Beside an article or main, most of the characters doesn't count without blocks: an advert can be longer than a short article."""
-    order, stack = [], [(body, False)]
+def settle_marks(body: Node) -> None:
+    """Take the mark from elements that hold an article or main, or blocks and most of the body's characters outside links; and
+    from forms that hold more than all that stands in no marked element."""
+    order, stack, outer = [], [(body, False, False)], []
     while stack:
-        node, link = stack.pop()
+        node, link, under = stack.pop()
         link = link or node.tag == "a"
         order.append((node, link))
-        stack.extend((c, link) for c in node.children if not isinstance(c, str) and not c.cut)
-    if not any(node.named for node, _ in order):
-        return
+        if node.marked and not under:
+            outer.append(node)
+        stack.extend((c, link, under or node.marked) for c in node.children if not isinstance(c, str) and not c.cut)
     plain: dict[int, int] = {}
     holds: set[int] = set()
     wraps: set[int] = set()
@@ -169,9 +171,12 @@ def cut_named(body: Node) -> None:
             holds.add(id(node))
         if any(c.tag in BLOCKS or id(c) in wraps for c in below):
             wraps.add(id(node))
+    free = plain[id(body)] - sum(plain[id(node)] for node in outer)
     for node, _ in order:
-        most = plain[id(node)] * 2 > plain[id(body)] and (id(node) in wraps or id(body) not in holds)
-        node.cut = node.named and id(node) not in holds and not most
+        if node.marked:
+            size_counts = id(node) in wraps or id(body) not in holds
+            most = plain[id(node)] > free if node.tag == "form" else plain[id(node)] * 2 > plain[id(body)] and size_counts and node.tag not in NEVER_MOST
+            node.marked = id(node) not in holds and not most
 
 
 def measure(root: Node) -> list[Node]:
@@ -181,82 +186,91 @@ def measure(root: Node) -> list[Node]:
         node = stack.pop()
         node.children = [c for c in node.children if isinstance(c, str) or not c.cut]
         order.append(node)
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+        below = [c for c in node.children if not isinstance(c, str)]
+        for c in below:
+            c.marked |= node.marked
+        stack.extend(reversed(below))
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(BLANK.sub(" ", c).strip())
             else:
                 node.chars, node.tags = node.chars + c.chars, node.tags + 1 + c.tags
-                node.link_chars, node.link_tags = node.link_chars + c.link_chars, node.link_tags + (c.tag == "a") + c.link_tags
-        if node.tag == "a":
-            node.link_chars = node.chars
+                node.link_chars, node.link_tags = node.link_chars + c.link_chars, node.link_tags + (c.tag == "a" or c.marked) + c.link_tags
+        if node.tag == "a" or node.marked:
+            node.link_chars, node.link_tags = node.chars, node.tags
     return order
 
 
-def densities(order: list[Node], body: Node) -> None:
-    """Composite text density C/T * log_b((C/LC) * (T/LT)), b = ln(C/(C-LC) * LC + LC_body/C_body * C + e), and sums."""
-    body_share = body.link_chars / max(1, body.chars)
+def linked(node: Node) -> bool:
+    return node.link_chars * 2 >= node.chars
+
+
+def densities(order: list[Node]) -> None:
+    """Composite text density C/T * log_b((C+1)/(LC+1) * (T+1)/(LT+1)) with b = (C+1) * (T+1), so that text without links has its
+    characters per tag and links alone 0; the density sums; and of each node the node at or below it with the largest sum that
+    isn't mostly links."""
     for node in reversed(order):
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, node.link_tags
-        if c:
-            base = math.log(c / max(1, c - lc) * lc + body_share * c + math.e)
-            ratio = (c / max(1, lc)) * (t / max(1, lt))
-            node.density = max(0.0, c / t * math.log(max(1.0, ratio)) / math.log(max(base, 1.0001))) if base > 1 else c / t
-        node.total = sum(x.density for x in node.children if not isinstance(x, str)) or node.density
+        c, t = node.chars + 1, node.tags + 1
+        if node.chars:
+            node.density = node.chars / max(1, node.tags) * math.log(c / (node.link_chars + 1) * t / (node.link_tags + 1)) / math.log(c * t)
+        below = [x for x in node.children if not isinstance(x, str)]
+        node.total = sum(x.density for x in below) or node.density
+        if not linked(node):
+            node.top = node
+        for x in below:
+            if x.top is not None and (node.top is None or x.top.total > node.top.total):
+                node.top = x.top
 
 
 def keep_main(body: Node) -> None:
     """Leave below the body only what belongs to the main text."""
     order = measure(body)
-    densities(order, body)
+    densities(order)
     best = max(order, key=lambda n: n.total)
-    threshold, up = best.density, best
-    while up is not body and up.parent is not None:
-        up = up.parent
+    if not best.total and linked(body):
+        body.children = []
+        return
+    threshold, container, up = best.density, None, best
+    while up is not None:
         threshold = min(threshold, up.density)
+        container = up if up.tag in ("article", "main") else container
+        up = up.parent
+    inside = {id(n) for n in nodes_below(container)} if container is not None else set()
+    enough = lambda node, value: value > 0 and (value >= threshold or id(node) in inside)
     chosen: set[int] = set()
     above: set[int] = set()
 
-    def outermost(node: Node) -> Node | None:
-        top, up = None, node
-        while up is not None:
-            if up.tag in ("article", "main") and (node is best or up.link_chars * 2 < up.chars):
-                top = up
-            up = up.parent
-        return top
-
-    def choose(node: Node) -> None:
-        top = outermost(node) or node
-        chosen.add(id(top))
-        lead_to(top.parent)
-
     def lead_to(node: Node | None) -> None:
         while node is not None and id(node) not in above:
             above.add(id(node))
             node = node.parent
 
+    def choose(node: Node) -> None:
+        chosen.add(id(node))
+        lead_to(node.parent)
+
     choose(best)
     stack = [body]
     while stack:
         node = stack.pop()
         if id(node) in chosen or not node.chars:
             continue
-        if id(node) not in above and node.density >= threshold > 0 and node.link_chars * 2 < node.chars:
-            choose(max((n for n in nodes_below(node) if n.link_chars * 2 < n.chars), key=lambda n: n.total))
+        if id(node) not in above and enough(node, node.density) and not linked(node):
+            choose(node.top)
             if id(node) in above:
                 stack.append(node)  # its other branches
         else:
             stack.extend(c for c in node.children if not isinstance(c, str))
-            if node.tag != "a" and any(dense(c, threshold) for c in node.children if isinstance(c, str)):
-                choose(node) if outermost(node) else lead_to(node)
+            if node.tag != "a" and not node.marked and any(enough(node, size(c)) for c in node.children if isinstance(c, str)):
+                lead_to(node)
     if id(body) not in chosen:
-        prune(body, chosen, above, threshold)
-    for node in nodes_below(body):  # a wrapper's name doesn't tell, but a block of links is no article
-        node.children = [c for c in node.children if isinstance(c, str) or not c.named or id(c) in above or c.link_chars * 2 < c.chars]
+        prune(body, chosen, above, enough)
+    for node in nodes_below(body):
+        node.children = [c for c in node.children if isinstance(c, str) or not c.marked or id(c) in above or c.density >= threshold]
 
 
-def prune(body: Node, chosen: set[int], above: set[int], threshold: float) -> None:
+def prune(body: Node, chosen: set[int], above: set[int], enough) -> None:
     """Drop the branches off the paths to the chosen nodes, but chosen ones, headings before them and what lies between."""
     items, stack = [], [(body, c) for c in reversed(body.children)]
     while stack:
@@ -269,7 +283,7 @@ def prune(body: Node, chosen: set[int], above: set[int], threshold: float) -> No
     ahead: set[int] = set()  # elements in which a chosen branch follows
     for parent, c in reversed(items):
         if isinstance(c, str):
-            take = parent.tag != "a" and dense(c, threshold)
+            take = parent.tag != "a" and not parent.marked and enough(parent, size(c))
         else:
             take = id(c) in chosen or (id(parent) in ahead and heads(c))
         kept.append(take)
@@ -281,7 +295,7 @@ def prune(body: Node, chosen: set[int], above: set[int], threshold: float) -> No
     first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
     left: dict[int, list] = {}
     for i, (parent, c) in enumerate(items):
-        between = first < i < last and (isinstance(c, str) or not c.chars or c.tag in HEADINGS or c.link_chars * 2 < c.chars)
+        between = first < i < last and (isinstance(c, str) or not c.chars or c.tag in HEADINGS or not linked(c))
         if kept[i] or between:
             left.setdefault(id(parent), []).append(c)
     stack = [body]
@@ -299,8 +313,8 @@ def prune(body: Node, chosen: set[int], above: set[int], threshold: float) -> No
         node.children = children
 
 
-def dense(text: str, threshold: float) -> bool:
-    return len(BLANK.sub(" ", text).strip()) >= threshold > 0
+def size(text: str) -> int:
+    return len(BLANK.sub(" ", text).strip())
 
 
 def heads(node: Node) -> bool:
@@ -352,7 +366,7 @@ def main_text(html: str | None) -> str:
         for c in late:
             c.parent = body
     body.parent = None
-    cut_named(body)
+    settle_marks(body)
     keep_main(body)
     return "\n\n".join(block_texts(body))
 
