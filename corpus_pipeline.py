@@ -45,7 +45,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     content = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = neardup.near_duplicates(docs.select("doc_id", "text", content.alias("content")), k=5, percent=80, keep=("content",))
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80, by_id=False)
     gone = _small(found.where("not kept").select(F.col("doc_id").alias("gone_id"), "content").distinct())
     packed = _packed(docs).withColumn("hash", content)
     return packed.join(gone, (F.col("hash") == F.col("content")) & (F.col("doc_id") == F.col("gone_id")), "left_anti").select("row.*")

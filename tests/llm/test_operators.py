@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from compare import same
 from ticklane.llm import chat, decontam, html_text, langid, licenses, lm, mixing, neardup, quality, spans, toxicity
 from ticklane.llm.common import fitting_texts, table
+from ticklane.llm.components import components
 from ticklane.llm.queries import ORACLE_SQL, QUERIES
 from ticklane.llm.sequences import viterbi
 
@@ -249,6 +250,47 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("hubs", [64, 1])
+def test_near_duplicates_with_repeated_ids_against_brute_force(spark, monkeypatch, hubs):
+    """Ids with several texts link what any of their texts links; many small rounds of hubs find what one large one finds."""
+    monkeypatch.setattr(neardup, "FIRST_HUBS", hubs)
+    monkeypatch.setattr(neardup, "MORE_HUBS", 2 if hubs == 1 else 8)
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows = []
+    for family in range(12):
+        base = rng.choice(vocabulary, 100)
+        for j in range(8):
+            text = base.copy()
+            text[rng.choice(100, int(rng.integers(0, 10)), replace=False)] = f"z{family}_{j}"
+            rows.append((100 * family + j, " ".join(text)))
+        rows.append((100 * family + 3, " ".join(rng.choice(vocabulary, 60))))
+    rows += [(5000, "same words here"), (5000, "other text"), (5001, "other  TEXT"), (5002, "same words here"), (5003, "b a b"), (5004, "a b a"), (5002, "same words here")]
+    sets = [neardup.shingles(t, 2) for _, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(rows[a][0]), root(rows[b][0])))
+                parent[y] = x
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted((i, len(s), root(i), i == root(i)) for (i, _), s in zip(rows, sets, strict=True))
+
+
+def test_components_of_a_long_path_and_a_large_star(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)] + [(2000, 2000), (1400, 1000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1401)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_edges(spark, odd):
     got = neardup.near_duplicates(odd.select("doc_id", "text"), 2, 80).collect()
     assert len(got) == len(ODD) and {r.doc_id: r.component_id for r in got} | {None: None} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 9, None: None}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Tasks over which the rows of one key are dealt.
+SALTS = 16
 BATCH_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
@@ -22,13 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that ``spark.checkpoint.dir`` names; one is set only where none is (tests)."""
+    """Cut lineage in the folder that ``spark.checkpoint.dir`` names. Where none is set, a local session (tests) takes a
+    temporary one, and a cluster raises, since its executors share no folder of the driver's."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def salted_lookup(rows: DataFrame, key: str, spread: Column, looked: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows joined to ``looked`` (one row for each key), with each key's rows dealt over SALTS tasks by the hash of ``spread``,
+    so that a key may hold any share of the rows. A looked-up row is repeated for the parts that its key's rows have."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    near = salted.select(key, "salt").distinct().join(looked, key)
+    return salted.join(near, [key, "salt"], how).drop("salt")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,16 +104,16 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) ->
 
 
 def fitting_sample(rows: DataFrame, label: str, per_label: int, last: Column | None = None) -> DataFrame:
-    """A bounded sample of rows for fitting: about ``per_label`` of each label (of the 1000 commonest, if there are more),
-    chosen by a hash of doc_id, the same ones in each run. Rows without an id or a label are left out, and rows for which
+    """A bounded sample of rows for fitting: about ``per_label`` of each label, chosen by a hash of doc_id, the same ones in
+    each run. Rows without an id or a label are left out, and rows for which
     ``last`` holds make up only for what a label's other rows lack."""
     last = F.lit(False) if last is None else last
     usable = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).withColumn("last", last)
     counts = usable.groupBy(label, "last").count().groupBy(label).agg(F.sum("count").alias("all"), F.coalesce(F.sum(F.when(~F.col("last"), F.col("count"))), F.lit(0)).alias("others"))
     lacking = F.greatest(F.lit(0.0), F.lit(float(per_label)) - F.col("others"))
-    rates = counts.orderBy(F.desc("all"), label).limit(1000).select(
+    rates = counts.select(
         label, F.try_divide(F.lit(float(per_label)), F.col("others")).alias("rate"), F.try_divide(lacking, F.col("all") - F.col("others")).alias("last_rate"))
-    rated = usable.join(F.broadcast(rates), label).withColumn("rate", F.when(F.col("last"), F.col("last_rate")).otherwise(F.col("rate")))
+    rated = salted_lookup(usable, label, F.col("doc_id"), rates).withColumn("rate", F.when(F.col("last"), F.col("last_rate")).otherwise(F.col("rate")))
     spread = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rated.where(spread < F.col("rate")).drop("rate", "last_rate", "last")
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklane.llm.common import checkpointed, shuffle_width
+from ticklane.llm.common import checkpointed, salted_lookup, shuffle_width
 
-MAX_ROUNDS, EDGES_A_TASK = 60, 20_000
+EDGES_A_TASK = 20_000
 
 
 def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
@@ -15,7 +15,7 @@ def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = both if large else both.where("b < a")
     least = seen.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-    tied = seen.join(least, "a")
+    tied = salted_lookup(seen, "a", F.col("b"), least)  # a hub's star is dealt over several tasks
     if large:
         tied = tied.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
@@ -26,16 +26,13 @@ def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b); component is the least node reached. Edges may repeat, in either
-    direction; loops are left out."""
+    direction; loops are left out. Rounds go on until one changes nothing; each brings a path's ends closer by half."""
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    last = mark(edges)
-    tasks = min(shuffle_width(edges.sparkSession), 1 + last[0] // EDGES_A_TASK)
+    last, now = None, mark(edges)
+    tasks = min(shuffle_width(edges.sparkSession), 1 + now[0] // EDGES_A_TASK)
     edges = edges.coalesce(tasks)
-    for _ in range(MAX_ROUNDS if last[0] else 0):
+    while now[0] and now != last:
         edges = checkpointed(_star(_star(edges, True, tasks), False, tasks).distinct().coalesce(tasks))
-        now = mark(edges)
-        if now == last:
-            break
-        last = now
+        last, now = now, mark(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

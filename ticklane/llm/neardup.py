@@ -4,15 +4,18 @@ Each text's set of distinct word shingles gives MINIMA minima of random hash fun
 groups; of each minimum only the low BITS bits are kept, packed in a signature, and pairs are compared by counting bits,
 with the correction for chance agreement. What may reach the threshold is confirmed on the full sets of the two texts.
 
-Texts with equal sets are one node, so that copies never meet each other. In each candidate group the members are first
-held against the least one only. Groups that still have members in different components after that are gathered to
-clusters, and pairs that lie across components are compared block by block inside tasks, first by signatures, then by
-full sets; only links leave a task, and pairs inside one component, which cannot change the result, are skipped. So large
-groups of near copies cost their size, not its square, and no link that the bands find is lost (a pair at 0.8 shares one
-of the 32 bands of 5 with probability 1 - 3e-6).
+Texts of the same words (equal 128-bit digests of the lower-cased words) are one node, so that copies never meet each other;
+everything else is linked on full sets only, equal sets too. Each node is first held against the least node of its candidate
+groups, then, in groups that have members in different components after that, the members apart from the group's least node,
+its hub, against it. Groups that are not settled then go on: those apart from the hub's component
+are hubs themselves, in rounds of 64, 512, ... for each group, by hash, and are held against the members in other components,
+until each has had its turn or none is left. Two members that end in different components have met, so no link that the bands
+find is lost (a pair at 0.8 shares one of the 32 bands of 5 with probability 1 - 3e-6), and a large group of near copies costs
+its size, not its square. The rows of one group, hub or text are dealt over several tasks.
 
 Null and empty texts have no set and link with nothing. Rows with a null id are alone: no component, kept. Rows with equal
-ids are one document. An empty table gives an empty result.
+ids are one document: their texts, if they differ, are in one component (unless ``by_id`` is off: then each text counts
+alone). A very long text is one set. An empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm import spans as S
-from ticklane.llm.common import checkpointed, map_texts
+from ticklane.llm.common import SALTS, checkpointed, map_texts, salted_lookup
 from ticklane.llm.components import components
 
 MINIMA, BITS, BANDS = 160, 2, 32
 WORDS = MINIMA * BITS // 64
 #: Estimates have a standard deviation of 0.038 at 0.8; this leaves more than five of them.
 LEAST_ESTIMATE = 0.6
-BROADCAST_IDS = 1_000_000
-#: Nodes of a cluster in a block.
-BLOCK = 512
+#: Ids of some 60 bytes that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Hubs of a group in the first round, and how many times more in each round after.
+FIRST_HUBS, MORE_HUBS = 64, 8
+PAIRS_A_SALT = 1_000
 
 
 def shingle_sets(texts: S.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +55,21 @@ def shingle_sets(texts: S.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((count > 0) & (count < k))
     lone = [S.rolling(words[first[i] : first[i] + count[i]], int(count[i])) for i in short]
     owner = np.concatenate([text[: len(grams)][whole], short])
-    # 48 bits of hash, so that all pieces give the same; 16 of text number
-    key = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (np.concatenate([grams[whole], *lone]) >> np.uint64(16)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64)
+    hashes = np.concatenate([grams[whole], *lone])
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], owner[new]
+
+
+def digests(texts: S.Texts) -> list[bytes | None]:
+    """Of each text, a 128-bit digest of its lower-cased words; none without words."""
+    raw, out = texts.data.tobytes(), []
+    for a, b in zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist(), strict=True):
+        plain = b" ".join(raw[a:b].lower().split())  # on bytes, both know ASCII only
+        out.append(hashlib.blake2b(plain, digest_size=16).digest() if plain else None)
+    return out
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -92,36 +108,34 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(documents: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets; null for none), signature and bands of each document."""
+def sketches(documents: DataFrame, k: int) -> DataFrame:
+    """doc_id, content (hash of the text), n_shingles, node (equal for texts of the same words; null for none), signature and
+    bands of each document."""
+    rows = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
 
     def start():
         def work(column):
-            parts = {"n_shingles": [], "set_key": [], "signature": [], "bands": []}
+            parts = {"n_shingles": [], "node": [], "signature": [], "bands": []}
             for texts in S.pieces(column):
                 n = len(texts)
                 hashes, owner = shingle_sets(texts, k)
                 size = np.bincount(owner, minlength=n)
                 full = np.flatnonzero(size)
                 begins = (np.cumsum(size) - size)[full]
-                raw = hashes.tobytes()
-                keys = [None] * n
-                for i, b in zip(full.tolist(), begins.tolist(), strict=True):
-                    keys[i] = hashlib.blake2b(raw[8 * b : 8 * (b + size[i])], digest_size=16).digest()
                 least = minima(hashes, begins) if len(full) else np.zeros((MINIMA, 0), np.uint32)
                 signature, bands = np.zeros((n, WORDS), np.int64), np.zeros((n, BANDS), np.int64)
                 signature[full], bands[full] = packed(least), band_keys(least)
-                for name, x in zip(parts, (size.astype(np.int64), keys, signature, bands), strict=True):
+                for name, x in zip(parts, (size.astype(np.int64), digests(texts), signature, bands), strict=True):
                     parts[name].append(x)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
             return {
-                "n_shingles": pa.array(np.concatenate(parts["n_shingles"])), "set_key": pa.array(sum(parts["set_key"], []), pa.binary()),
+                "n_shingles": pa.array(np.concatenate(parts["n_shingles"])), "node": pa.array(sum(parts["node"], []), pa.binary()),
                 "signature": lists(np.concatenate(parts["signature"])), "bands": lists(np.concatenate(parts["bands"])),
             }
 
         return work
 
-    return map_texts(documents, "text", ["doc_id", *keep], "n_shingles long, set_key binary, signature array<long>, bands array<long>", start)
+    return map_texts(rows, "text", ["doc_id", "content"], "n_shingles long, node binary, signature array<long>, bands array<long>", start)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -145,19 +159,28 @@ def _split(text: str) -> list[str]:
     return [w for w in text.translate(_ASCII).translate(_SPACES).split(" ") if w]
 
 
-def texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents with these distinct ids."""
-    few = ids.count() <= BROADCAST_IDS
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def texts_of(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, text) of nodes (node, doc_id, content)."""
+    few = nodes.count() <= BROADCAST_IDS
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
+    return rows.join(F.broadcast(nodes) if few else nodes, ["doc_id", "content"]).select("node", "text").dropDuplicates(["node"])
+
+
+def both_sides(pairs: DataFrame, looked: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with ``column`` of both nodes, from looked (node, column). A node b of many pairs is repeated for each
+    PAIRS_A_SALT of them."""
+    many = salted_lookup(pairs, "b", F.col("a"), pairs.groupBy("b").agg(F.count("*").alias("many")))
+    many = many.withColumn("part", F.pmod(F.xxhash64("a", F.lit(1)), F.ceil(F.col("many") / F.lit(PAIRS_A_SALT)))).drop("many")
+    one = many.join(looked.select(F.col("node").alias("a"), F.col(column).alias("of_a")), "a")
+    other = many.select("b", "part").distinct().join(looked.select(F.col("node").alias("b"), F.col(column).alias("of_b")), "b")
+    return one.join(other, ["b", "part"]).select("a", "b", "of_a", "of_b")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough: 100 * intersection >= percent * union."""
     pairs = checkpointed(pairs)
-    ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = checkpointed(texts_of(ids, documents))
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = checkpointed(texts_of(checkpointed(nodes.select("node", "doc_id", "content").join(used, "node")), documents))
 
     def check(batches):
         held, its = None, set()
@@ -173,95 +196,62 @@ def confirmed(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> D
                 good.append(100 * both >= percent * (len(mine) + len(its) - both))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return checkpointed(two.mapInArrow(check, f"a {kind}, b {kind}").distinct())
-
-
-def links_across(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs of a block pair that lie across components and whose sets overlap enough."""
-    get = lambda name: rows.column(name).to_numpy()
-    block, left, component = get("block"), get("low"), get("component")
-    signature = np.array(rows.column("signature").to_pylist(), np.int64).view(np.uint64)
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-    size = np.array(list(map(len, sets)))
-    same_block = bool(left[0] == get("high")[0])
-    firsts = np.arange(len(block)) if same_block else np.flatnonzero(block == left[0])
-    seconds = np.arange(len(block)) if same_block else np.flatnonzero(block != left[0])
-    _, code = np.unique(component, return_inverse=True)
-    found = []
-    for i in firsts:
-        others = seconds[(code[seconds] != code[i]) & ((seconds > i) | (not same_block))]
-        others = others[100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])]
-        x = signature[others] ^ signature[i]
-        apart = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
-        chance = 0.5**BITS
-        others = others[((1 - apart / MINIMA) - chance) / (1 - chance) >= LEAST_ESTIMATE]
-        for j in others:
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                found.append((i, j))
-    return tuple(np.array(found, int).reshape(-1, 2).T)
-
-
-def cross_links(unsettled: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) across components among nodes (band, node, component, signature) of unsettled groups."""
-    to_least = unsettled.join(unsettled.groupBy("band").agg(F.min("node").alias("least")), "band").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    cluster = components(to_least).withColumnRenamed("component", "cluster")
-    nodes = unsettled.select("node", "component", "signature").dropDuplicates(["node"]).join(cluster, "node")
-    blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    ids = checkpointed(nodes.select(F.col("node").alias("doc_id")))
+    return checkpointed(both_sides(pairs, texts, "text").mapInArrow(check, "a binary, b binary"))
 
-    def start():
-        def work(column):
-            made = []
-            for texts in S.pieces(column):
-                hashes, owner = shingle_sets(texts, k)
-                made += [x.tobytes() for x in np.split(hashes, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])]
-            return {"shingles": pa.array(made, pa.binary())}
 
-        return work
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct pairs whose signatures may belong to similar sets."""
+    return both_sides(pairs.distinct(), nodes, "signature").where(estimate(F.col("of_a"), F.col("of_b")) >= LEAST_ESTIMATE).select("a", "b")
+
 
-    sets = map_texts(texts_of(ids, documents), "text", ["doc_id"], "shingles binary", start).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
-    placed = nodes.join(blocks, "cluster").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "signature", "shingles")
-    kind = unsettled.schema["node"].dataType.simpleString()
+def unsettled(placed: DataFrame, of: DataFrame, before: int) -> DataFrame:
+    """The members of those groups (band, node, hub, size) that have several components and more than ``before`` members, with
+    their component and main, the hub's."""
+    parts = placed.where(F.col("size") > max(before, 2)).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sums = parts.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("main")).where("low <> high")
+    return checkpointed(salted_lookup(parts, "band", F.col("node"), sums.select("band", "main")))
 
-    def compare(rows: pa.Table) -> pa.Table:
-        a, b = links_across(rows, percent)
-        node = rows.column("node")
-        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
 
-    return paired.groupBy("cluster", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+def met(open_: DataFrame, nodes: DataFrame, before: int, hubs: int) -> DataFrame:
+    """Likely pairs across components in a round: members whose turn is from ``before`` to ``hubs`` and that are apart from the
+    hub's component, and all others of their group."""
+    signed = open_.join(nodes.select("node", "signature"), "node")
+    turn = F.pmod(F.xxhash64("band", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
+    now = signed.where((F.col("component") != F.col("main")) & (turn >= before) & (turn < hubs))
+    now = now.select("band", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("signature").alias("sign_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = signed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    apart = (F.col("component") != F.col("of_b")) & (estimate(F.col("signature"), F.col("sign_b")) >= LEAST_ESTIMATE)
+    return members.join(now, ["band", "salt"]).where(apart).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reached by links) and kept for each row of documents (doc_id, text)."""
-    sketched = checkpointed(sketches(documents, k, keep))
-    known = sketched.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = checkpointed(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id: bool = True) -> DataFrame:
+    """doc_id, content (hash of the text), n_shingles, component_id (the least doc_id reached by links) and kept for each row of
+    documents (doc_id, text)."""
+    sketched = checkpointed(sketches(documents, k))
+    known = sketched.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    nodes = checkpointed(nodes.select("node", "least.*", "signature", "bands"))
     members = nodes.select("node", F.explode("bands").alias("band"))
-    groups = checkpointed(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1"))
-    placed = checkpointed(members.join(groups, "band"))
-    sign = nodes.select("node", "signature")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sign.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-        two = one.join(sign.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-        return two.where(estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b").distinct()
-
-    hubs = placed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = confirmed(likely(hubs), documents, k, percent)
-    # documents with equal ids but different sets are one node already
+    groups = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    placed = checkpointed(salted_lookup(members, "band", F.col("node"), groups))
+    check = lambda pairs: confirmed(pairs, nodes, documents, k, percent)
+    # each node and the least hub of its groups; then all hubs, where a group has several components yet
+    firsts = placed.where("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).withColumnRenamed("node", "a")
+    links = check(likely(firsts, nodes))
+    if by_id:
+        several = known.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
+        links = links.unionByName(salted_lookup(known.select("doc_id", F.col("node").alias("a")), "doc_id", F.col("a"), several).select("a", "b"))
     of = components(links)
-    # groups of three and more whose members are in different components yet: pairs across them
-    parts = placed.where("size > 2").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = parts.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    unsettled = checkpointed(parts.join(mixed, "band").select("band", "node", "component").join(sign, "node"))
-    more = None if unsettled.isEmpty() else confirmed(cross_links(unsettled, documents, k, percent), documents, k, percent)
-    if more is not None and not more.isEmpty():
-        of = components(links.unionByName(more))
-    by_set = nodes.select("set_key", "node").join(of, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    found = sketched.select("doc_id", *keep, "n_shingles", "set_key").join(by_set, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", *keep, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    before, hubs = 0, 0
+    while not (open_ := unsettled(placed, of, before)).isEmpty():
+        pairs = met(open_, nodes, before, hubs) if hubs else likely(open_.where("component <> main").select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes)
+        more = check(pairs)
+        if not more.isEmpty():
+            of = components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        placed = open_.select(*placed.columns)
+        before, hubs = hubs, hubs * MORE_HUBS or FIRST_HUBS
+    whole = nodes.select("node", "doc_id").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = salted_lookup(whole.drop("doc_id"), "component", F.col("node"), whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))).drop("component")
+    found = salted_lookup(sketched.select("doc_id", "content", "n_shingles", "node"), "node", F.monotonically_increasing_id(), ids, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "content", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

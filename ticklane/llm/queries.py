@@ -46,7 +46,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80).drop("content")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
