@@ -7,7 +7,8 @@ takes it apart again.
 
 Null texts and roles are empty; a message whose parent is not there, or is itself, is a root; messages in a cycle of
 replies have no root and are in no path; equal scores go to the path with the lesser leaf id; equal ids are one message
-(the first by role and text). One conversation is one string, so a path must fit a row.
+(the first by role and text). One conversation is one string, so a path must fit a row, however long its texts. An empty
+table gives no paths; other columns are left out.
 """
 
 from __future__ import annotations
@@ -49,8 +50,9 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     nodes = messages.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct(F.col("parent_id").isNull(), "parent_id", "score")).alias("m"))
     nodes = nodes.select("id", F.when(F.col("m.parent_id") != F.col("id"), F.col("m.parent_id")).alias("parent_id"), F.coalesce("m.score", F.lit(0.0)).cast("double").alias("score"))
     known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    nodes = nodes.join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), "score")
-    nodes = checkpointed(nodes)
+    # roots have no parent to look for, and all of them would meet in one task
+    answers = nodes.where(F.col("parent_id").isNotNull()).join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), "score")
+    nodes = checkpointed(answers.unionByName(nodes.where(F.col("parent_id").isNull())))
     # total: score of the nodes from here up to, not including, far; jumps[k]: far after 2 ** k steps
     state = nodes.select("id", F.col("parent_id").alias("far"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"), F.col("id").alias("top"))
     jumps = [state.select("id", "far")]
