@@ -6,7 +6,8 @@ epochs of the source, then the words of one more pass up to the budget.
 
 The key is the md5 of a seed and the id, so that reruns agree and ranges need no sampling. Null texts have size 0 and are
 taken 0 times; a null source is a source of its own and comes last; rows with equal ids, texts and sizes share a place in
-the order (any of them may be the one that is cut); an empty table gives an empty mix. Rows without an id count by the
+the order (any of them may be the one that is cut); an empty table gives an empty mix; very long texts are only counted, and cut at the budget; columns named as a result are
+replaced by it. Rows without an id count by the
 hash of nothing; a copy of a whole row more than a hash range holds stays in one range.
 """
 
@@ -20,7 +21,7 @@ from ticklane.llm.common import SPACE, checkpointed, shuffle_width, words
 #: The weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MAX_EPOCHS = 150, 2
-ROWS_A_RANGE, BROADCAST_SOURCES = 2_000, 10_000
+ROWS_A_RANGE, RANGES_A_BLOCK, BROADCAST_SOURCES = 2_000, 2_000, 10_000
 
 
 def sizes(documents: DataFrame) -> DataFrame:
@@ -66,9 +67,13 @@ def mix(sized: DataFrame, goals: DataFrame, seed: str = "mix") -> DataFrame:
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     keyed = keyed.withColumn("range", F.floor(place * ranges).cast("long"))
     inside = Window.partitionBy("rank", "range").orderBy("key", F.asc_nulls_first("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    sums = keyed.groupBy("rank", "range").agg(F.sum("size").alias("in_range"))
-    earlier = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("rank", "range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("offset"))
+    # sums of the ranges before, inside blocks of ranges and over the blocks before, so that no window holds all of a source
+    sums = keyed.groupBy("rank", "range").agg(F.sum("size").alias("in_range")).withColumn("block", F.floor(F.col("range") / F.lit(RANGES_A_BLOCK)))
+    ahead = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy("rank", "block").agg(F.sum("in_range").alias("in_block"))
+    blocks = blocks.select("rank", "block", F.coalesce(F.sum("in_block").over(ahead("rank", "block")), F.lit(0)).alias("blocks_before"))
+    sums = sums.withColumn("ranges_before", F.coalesce(F.sum("in_range").over(ahead("rank", "block", "range")), F.lit(0)))
+    offsets = sums.join(blocks, ["rank", "block"]).select("rank", "range", (F.col("blocks_before") + F.col("ranges_before")).alias("offset"))
     placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets, ["rank", "range"], "left")
     before = F.col("offset") + F.col("inside")
