@@ -15,6 +15,7 @@ from compare import same
 from ticklane.llm import chat, decontam, html_text, langid, licenses, lm, mixing, neardup, quality, spans, toxicity
 from ticklane.llm.common import fitting_texts, table
 from ticklane.llm.components import components
+from ticklane.llm.phrases import places
 from ticklane.llm.queries import ORACLE_SQL, QUERIES
 from ticklane.llm.sequences import viterbi
 
@@ -421,6 +422,19 @@ def test_decontamination_edges(spark, odd):
     assert decontam.find_contamination(odd, items.limit(0)).where("n_hit > 0").count() == 0 and decontam.find_contamination(odd.limit(0), items).count() == 0
 
 
+def test_places_by_broadcast_and_by_shuffle_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = [(i, rng.choice(list("abcd"), int(n)).tolist()) for i, n in enumerate(rng.integers(0, 12, 40))] + [(None, ["a", "b"]), (0, None), (50, ["a"] * 3), (50, ["a"] * 3)]
+    texts[41] = (60, [])
+    phrases = [(["a"], 0, 1), (["a", "b"], 0, 2), (["b", "c", "a"], 1, 3), (["d"], 0, 4), (["a", "a"], 0, 5), (["c", "c", "d", "a"], 2, 6)]
+    df, ph = spark.createDataFrame(texts, "id long, w array<string>"), spark.createDataFrame(phrases, "words array<string>, offset int, payload long")
+    want = collections.Counter((i, a, p, None) for i, w in set((i, tuple(w)) for i, w in texts) for words, _, p in phrases for a in range(len(w) - len(words) + 1) if list(w[a : a + len(words)]) == words)
+    total = collections.Counter((i, None, None, len(w)) for i, w in texts)
+    for limit in (1 << 20, 0):
+        got = collections.Counter((r.id, r.start, r.payload, r.total) for r in places(df, ["id"], ph, limit).collect())
+        assert set(got) == set(want) | set(total) and all(got[k] == n for k, n in total.items())
+
+
 def test_toxicity(spark, odd):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]

@@ -6,7 +6,7 @@ left out, and a merged span stands if its grams cover enough of the notice's wor
 for as exact phrases in the same scan.
 
 Null texts have no words; a text with nothing found has no labels and score 0; equal votes count once; repeated documents
-give repeated rows.
+give repeated rows; a very long text is scanned whole; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
