@@ -207,6 +207,42 @@ def test_lm_against_brute_force(spark, odd):
     assert lm.score_texts(odd.limit(0).select("doc_id", "text"), lm.learnable).count() == 0
 
 
+def test_lm_score_against_plain_deleted_interpolation(spark):
+    """Counts, mixture weights by expectation-maximisation and every text's score, computed one token at a time."""
+    rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").where("length(text) < 4000").collect()] + [(901, None), (902, "new words only")]
+    got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), lm.learnable).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in rows}
+    pairs = {i: list(zip(["<s>", *w], w)) for i, t in rows for w in [[*re.findall(SPACE, (t or "").translate(ASCII)), "</s>"]]}
+    word, pair, context, held_word, held_pair, held_context = (collections.Counter() for _ in range(6))
+    for i, of in pairs.items():
+        for v, w in of if fold[i] else []:
+            word[w] += 1; pair[v, w] += 1; context[v] += 1  # noqa: E702
+            if fold[i] == 1:
+                held_word[w] += 1; held_pair[v, w] += 1; held_context[v] += 1  # noqa: E702
+    total, types, tuned = sum(word.values()), len(word), sum(held_word.values())
+    bucket = lambda n: math.ceil(math.log2(n + 1))
+    step = lambda p: round(math.log10(p * (types + 1)) / lm.BIN) if p > 0 else None
+    cells = collections.Counter()
+    for i, of in pairs.items():
+        for v, w in of if fold[i] == 1 else []:
+            c, p, n = (x[k] - y[k] for x, y, k in ((word, held_word, w), (pair, held_pair, (v, w)), (context, held_context, v)))
+            cells[bucket(n), step(p / n if n else 0), step(c / (total - tuned))] += 1
+    weights = {}
+    for b in {b for b, *_ in cells}:
+        own, w = [(x, y, n) for (k, x, y), n in cells.items() if k == b], [0.1, 0.4, 0.5]
+        for _ in range(100):
+            sums = [0.5, 0.05, 0.05]
+            for x, y, n in own:
+                parts = [w[0], 0 if y is None else w[1] * 10 ** (y * lm.BIN), 0 if x is None else w[2] * 10 ** (x * lm.BIN)]
+                sums = [s + n * p / sum(parts) for s, p in zip(sums, parts)]
+            w = [s / sum(sums) for s in sums]
+        weights[b] = w
+    near = lambda b: weights[min(weights, key=lambda k: (abs(k - b), k))]
+    for i, of in pairs.items():
+        score = sum(math.log10(near(bucket(context[v]))[0] / (types + 1) + near(bucket(context[v]))[1] * word[w] / total + near(bucket(context[v]))[2] * pair[v, w] / max(context[v], 1)) for v, w in of)
+        assert got[i].train_tokens == total and got[i].n_known == sum(word[w] > 0 for _, w in of) and got[i].score == pytest.approx(score, rel=1e-9)
+
+
 def test_lm_mixture_and_packing():
     weights = lm.learned_weights(np.array([[1, 40, 10, 50], [3, lm.LOWEST, 10, 50]]))
     assert np.allclose(weights.sum(1), 1) and weights[1, 2] > 0.9 and weights[3, 2] < 0.05
@@ -412,6 +448,44 @@ def test_licenses(spark, odd):
     assert licenses.find_licenses(odd.select("doc_id", "text")).count() == len(ODD) and licenses.find_licenses(odd.limit(0)).count() == 0
 
 
+def test_licenses_against_brute_force(spark):
+    """Base places by a plain search; votes by diagonal, merged and measured one text at a time."""
+    rng = np.random.default_rng(9)
+    rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    for i in range(60):  # notices with words left out, put in and changed, twice in one text, across its end
+        w = " and ".join(licenses.NOTICES[j][1] for j in rng.integers(0, len(licenses.NOTICES), 2)).split()
+        for at in rng.integers(0, len(w), int(rng.integers(0, 6))):
+            w[at] = ["", f"{w[at]} extra", "other"][int(rng.integers(3))]
+        rows.append((10_000 + i, " ".join(w[: int(rng.integers(5, 60))]) + " CC-BY"))
+    grams = collections.defaultdict(list)
+    for n, (_, notice) in enumerate(licenses.NOTICES):
+        w = notice.split()
+        for j in range(len(w) - 2):
+            grams[tuple(w[j : j + 3])].append((n, j))
+
+    def brute(text):
+        w = re.findall(ALNUM, (text or "").translate(ASCII))
+        base = sorted((i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+        votes = collections.defaultdict(list)
+        for i in range(len(w) - 2):
+            for n, j in grams.get(tuple(w[i : i + 3]), ()):
+                votes[n].append((i - j, j))
+        labels = {label for _, label in base}
+        for n, own in votes.items():
+            label, size, span = licenses.NOTICES[n][0], len(licenses.NOTICES[n][1].split()), []
+            for d, j in [*sorted(own), (math.inf, 0)]:
+                if span and d - span[-1][0] > 2:
+                    if len({k + x for _, k in span for x in range(3)}) / size >= 0.7:
+                        labels.add(label)
+                    span = []
+                span.append((d, j))
+        return len(w), [i for i, _ in base], sorted({label for _, label in base}), sorted(labels)
+
+    found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.n_words, sorted(s.first_word for s in r.spans if s.kind == "phrase"), sorted({s.label for s in r.spans if s.kind == "phrase"}), sorted({s.label for s in r.spans})) for r in found}
+    assert got == {i: brute(t) for i, t in rows} and sum(len(x[3]) > len(x[2]) for x in got.values()) > 20
+
+
 def test_decontamination_edges(spark, odd):
     items = spark.createDataFrame([(1, "one"), (2, None), (3, "vielen worten der lange text mit vielen worten der lange text"), (None, "漢字 кот"), (4, "no id here"), (10, "ONE")], "item_id long, text string")
     got = decontam.find_contamination(odd.select("doc_id", "text"), items).collect()
