@@ -7,11 +7,14 @@ with the correction for chance agreement. What may reach the threshold is confir
 Texts of the same words (equal 128-bit digests of the lower-cased words) are one node, so that copies never meet each other;
 everything else is linked on full sets only, equal sets too. Each node is first held against the least node of its candidate
 groups, then, in groups that have members in different components after that, the members apart from the group's least node,
-its hub, against it. Groups that are not settled then go on: those apart from the hub's component
-are hubs themselves, in rounds of 64, 512, ... for each group, by hash, and are held against the members in other components,
-until each has had its turn or none is left. Two members that end in different components have met, so no link that the bands
-find is lost (a pair at 0.8 shares one of the 32 bands of 5 with probability 1 - 3e-6), and a large group of near copies costs
-its size, not its square. The rows of one group, hub or text are dealt over several tasks.
+its hub, against it. Groups that are not settled then
+are gathered to clusters, and nodes apart from their cluster's largest component are hubs themselves, in rounds of 512, 4096,
+... for each cluster, by hash: blocks of hubs meet blocks of members inside tasks, on full sets of hashes, and of each hub one
+link to each other component leaves the task, to be confirmed on the texts. Two members of a group that end in different
+components have met, so no link that the bands find is lost (a pair at 0.8 shares one of the 32 bands of 5 with probability
+1 - 3e-6). A cluster costs its size times the blocks of hubs it still needs, so large groups of near copies cost their size
+where most of them are linked by then; members that link with nothing must each meet all. The rows of one group, hub or text
+are dealt over several tasks.
 
 Null and empty texts have no set and link with nothing. Rows with a null id are alone: no component, kept. Rows with equal
 ids are one document: their texts, if they differ, are in one component (unless ``by_id`` is off: then each text counts
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm import spans as S
-from ticklane.llm.common import SALTS, checkpointed, map_texts, salted_lookup
+from ticklane.llm.common import checkpointed, map_texts, salted_lookup
 from ticklane.llm.components import components
 
 MINIMA, BITS, BANDS = 160, 2, 32
@@ -37,8 +40,8 @@ WORDS = MINIMA * BITS // 64
 LEAST_ESTIMATE = 0.6
 #: Ids of some 60 bytes that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Hubs of a group in the first round, and how many times more in each round after.
-FIRST_HUBS, MORE_HUBS = 64, 8
+#: Nodes in a block of hubs or members, hubs of a cluster in the first round, and how many times more after each round.
+BLOCK, FIRST_HUBS, MORE_HUBS = 512, 512, 8
 PAIRS_A_SALT = 1_000
 
 
@@ -204,24 +207,78 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both_sides(pairs.distinct(), nodes, "signature").where(estimate(F.col("of_a"), F.col("of_b")) >= LEAST_ESTIMATE).select("a", "b")
 
 
-def unsettled(placed: DataFrame, of: DataFrame, before: int) -> DataFrame:
-    """The members of those groups (band, node, hub, size) that have several components and more than ``before`` members, with
-    their component and main, the hub's."""
-    parts = placed.where(F.col("size") > max(before, 2)).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def unsettled(placed: DataFrame, of: DataFrame, least: int) -> DataFrame:
+    """The members of those groups (band, node, hub, size) of ``least`` nodes or more that have several components, with their
+    component and main, the hub's."""
+    parts = placed.where(F.col("size") >= least).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sums = parts.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("main")).where("low <> high")
     return checkpointed(salted_lookup(parts, "band", F.col("node"), sums.select("band", "main")))
 
 
-def met(open_: DataFrame, nodes: DataFrame, before: int, hubs: int) -> DataFrame:
-    """Likely pairs across components in a round: members whose turn is from ``before`` to ``hubs`` and that are apart from the
-    hub's component, and all others of their group."""
-    signed = open_.join(nodes.select("node", "signature"), "node")
-    turn = F.pmod(F.xxhash64("band", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
-    now = signed.where((F.col("component") != F.col("main")) & (turn >= before) & (turn < hubs))
-    now = now.select("band", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("signature").alias("sign_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = signed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    apart = (F.col("component") != F.col("of_b")) & (estimate(F.col("signature"), F.col("sign_b")) >= LEAST_ESTIMATE)
-    return members.join(now, ["band", "salt"]).where(apart).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+def shingled(nodes: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the sorted hashes of each node's set, packed."""
+
+    def start():
+        def work(column):
+            made = []
+            for texts in S.pieces(column):
+                hashes, owner = shingle_sets(texts, k)
+                made += [x.tobytes() for x in np.split(hashes, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])]
+            return {"shingles": pa.array(made, pa.binary())}
+
+        return work
+
+    return map_texts(texts_of(nodes, documents), "text", ["node"], "shingles binary", start)
+
+
+def first_links(rows: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Row numbers of hubs and members of a block whose sets overlap enough: for each hub one member of each other component,
+    since more would join nothing more."""
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    size = np.array(list(map(len, sets)))
+    _, code = np.unique(np.array(rows.column("component").to_pylist(), object), return_inverse=True)
+    is_hub = rows.column("is_hub").to_numpy(zero_copy_only=False)
+    hubs, members = np.flatnonzero(is_hub), np.flatnonzero(~is_hub)
+    if not len(hubs) or not len(members):
+        return [], []
+    distinct, number = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
+    begins = np.cumsum(size[members]) - size[members]
+    seen = np.zeros(len(distinct) + 1, np.int32)
+    ones, others = [], []
+    for i in hubs:
+        at = np.minimum(np.searchsorted(distinct, sets[i]), len(distinct) - 1)
+        at = at[distinct[at] == sets[i]]
+        seen[at] = 1
+        both = np.add.reduceat(seen[number], begins)  # of each member
+        seen[at] = 0
+        good = members[(100 * both >= percent * (size[i] + size[members] - both)) & (code[members] != code[i])]
+        _, first = np.unique(code[good], return_index=True)
+        ones += [int(i)] * len(first)
+        others += good[first].tolist()
+    return ones, others
+
+
+def turns(clustered: DataFrame, of: DataFrame, before: int, hubs: int, percent: int) -> DataFrame:
+    """Links across the components of clusters (node, cluster, n, shingles): each node apart from its cluster's main component,
+    if its turn (a hash below n) is from ``before`` to ``hubs``, and all members, in blocks of BLOCK of both."""
+    now = clustered.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sums = now.groupBy("cluster", "component").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("component", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    now = salted_lookup(now, "cluster", F.col("node"), sums.select("cluster", "main"))
+    now = now.withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n"))
+    is_hub = (F.col("component") != F.col("main")) & (F.col("turn") >= before) & (F.col("turn") < hubs)
+    now = now.withColumn("is_hub", is_hub).withColumn("member_block", F.pmod(F.xxhash64("node", F.lit(4)), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int"))
+    hub_block = F.floor((F.col("turn") - before) / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil((F.least(F.col("n"), F.lit(hubs)) - F.lit(before)) / F.lit(BLOCK)).cast("int")
+    place = ["cluster", "node", "component", "shingles"]
+    first = now.where("is_hub").select(*place, F.lit(True).alias("is_hub"), hub_block.alias("hub_block"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int") - 1)).alias("member_block"))
+    rest = now.select(*place, F.lit(False).alias("is_hub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("hub_block"), "member_block")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        a, b = first_links(rows, percent)
+        node = rows.column("node")
+        return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+
+    return first.unionByName(rest).groupBy("cluster", "hub_block", "member_block").applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id: bool = True) -> DataFrame:
@@ -242,14 +299,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id:
         several = known.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
         links = links.unionByName(salted_lookup(known.select("doc_id", F.col("node").alias("a")), "doc_id", F.col("a"), several).select("a", "b"))
     of = components(links)
-    before, hubs = 0, 0
-    while not (open_ := unsettled(placed, of, before)).isEmpty():
-        pairs = met(open_, nodes, before, hubs) if hubs else likely(open_.where("component <> main").select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes)
-        more = check(pairs)
-        if not more.isEmpty():
-            of = components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        placed = open_.select(*placed.columns)
-        before, hubs = hubs, hubs * MORE_HUBS or FIRST_HUBS
+    join = lambda of, more: components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    open_ = unsettled(placed, of, 2)
+    if not open_.isEmpty():
+        of = join(of, check(likely(open_.where("component <> main").select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes)))
+        open_ = unsettled(open_.select(*placed.columns), of, 3)
+    if not open_.isEmpty():
+        cluster = components(open_.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
+        cluster = checkpointed(salted_lookup(cluster, "cluster", F.col("node"), cluster.groupBy("cluster").agg(F.count("*").alias("n"))))
+        sets = shingled(checkpointed(nodes.select("node", "doc_id", "content").join(cluster.select("node"), "node")), documents, k)
+        clustered, largest = checkpointed(cluster.join(sets, "node")), cluster.agg(F.max("n")).first()[0]
+        before, hubs = 0, FIRST_HUBS
+        while before < largest:
+            of = join(of, check(turns(clustered.where(F.col("n") > before), of, before, hubs, percent).distinct()))
+            before, hubs = hubs, hubs * MORE_HUBS
     whole = nodes.select("node", "doc_id").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = salted_lookup(whole.drop("doc_id"), "component", F.col("node"), whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))).drop("component")
     found = salted_lookup(sketched.select("doc_id", "content", "n_shingles", "node"), "node", F.monotonically_increasing_id(), ids, "left")
