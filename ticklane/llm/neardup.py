@@ -40,8 +40,8 @@ WORDS = MINIMA * BITS // 64
 LEAST_ESTIMATE = 0.6
 #: Ids of some 60 bytes that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Nodes in a block of hubs or members, hubs of a cluster in the first round, and how many times more after each round.
-BLOCK, FIRST_HUBS, MORE_HUBS = 512, 512, 8
+#: Bytes of sets in a block of hubs or members, hubs of a cluster in the first round, and how many times more after each round.
+BLOCK_BYTES, FIRST_HUBS, MORE_HUBS = 4_000_000, 512, 8
 PAIRS_A_SALT = 1_000
 
 
@@ -258,27 +258,36 @@ def first_links(rows: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     return ones, others
 
 
-def turns(clustered: DataFrame, of: DataFrame, before: int, hubs: int, percent: int) -> DataFrame:
-    """Links across the components of clusters (node, cluster, n, shingles): each node apart from its cluster's main component,
-    if its turn (a hash below n) is from ``before`` to ``hubs``, and all members, in blocks of BLOCK of both."""
+def apart(clustered: DataFrame, of: DataFrame, before: int) -> DataFrame:
+    """Clusters (node, cluster, n, bytes, shingles) of several components, with each node's component, its turn (a hash below n)
+    and waiting: whether it is apart from the largest component and its turn is from ``before``."""
     now = clustered.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sums = now.groupBy("cluster", "component").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("component", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    now = salted_lookup(now, "cluster", F.col("node"), sums.select("cluster", "main"))
-    now = now.withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n"))
-    is_hub = (F.col("component") != F.col("main")) & (F.col("turn") >= before) & (F.col("turn") < hubs)
-    now = now.withColumn("is_hub", is_hub).withColumn("member_block", F.pmod(F.xxhash64("node", F.lit(4)), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int"))
-    hub_block = F.floor((F.col("turn") - before) / F.lit(BLOCK)).cast("int")
-    blocks = F.ceil((F.least(F.col("n"), F.lit(hubs)) - F.lit(before)) / F.lit(BLOCK)).cast("int")
+    turn = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
+    sums = now.groupBy("cluster", "component").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    now = salted_lookup(now, "cluster", F.col("node"), sums.select("cluster", "main")).withColumn("turn", turn)
+    return now.withColumn("waiting", (F.col("component") != F.col("main")) & (F.col("turn") >= before))
+
+
+def turns(now: DataFrame, hubs: int, percent: int) -> DataFrame:
+    """Links across components of what ``apart`` gives: waiting nodes whose turn is below ``hubs`` against all members of their
+    clusters, in blocks of some BLOCK_BYTES of both. Clusters without such nodes send nothing."""
+    now = now.withColumn("is_hub", F.col("waiting") & (F.col("turn") < hubs))
+    size = F.octet_length("shingles").cast("long")
+    sums = now.groupBy("cluster").agg(F.sum(F.when(F.col("is_hub"), size)).alias("hub_bytes")).where("hub_bytes IS NOT NULL")
+    now = salted_lookup(now, "cluster", F.col("node"), sums)
+    count = lambda n: F.ceil(F.col(n) / F.lit(BLOCK_BYTES)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(4)), count(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
     place = ["cluster", "node", "component", "shingles"]
-    first = now.where("is_hub").select(*place, F.lit(True).alias("is_hub"), hub_block.alias("hub_block"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(BLOCK)).cast("int") - 1)).alias("member_block"))
-    rest = now.select(*place, F.lit(False).alias("is_hub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("hub_block"), "member_block")
+    first = now.where("is_hub").select(*place, F.lit(True).alias("is_hub"), own("hub_bytes").alias("hub_block"), every("bytes").alias("member_block"))
+    rest = now.select(*place, F.lit(False).alias("is_hub"), every("hub_bytes").alias("hub_block"), own("bytes").alias("member_block"))
 
     def compare(rows: pa.Table) -> pa.Table:
         a, b = first_links(rows, percent)
         node = rows.column("node")
         return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
-    return first.unionByName(rest).groupBy("cluster", "hub_block", "member_block").applyInArrow(compare, "a binary, b binary")
+    return first.unionByName(rest).groupBy("cluster", "hub_block", "member_block").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id: bool = True) -> DataFrame:
@@ -308,10 +317,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id:
         cluster = components(open_.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
         cluster = checkpointed(salted_lookup(cluster, "cluster", F.col("node"), cluster.groupBy("cluster").agg(F.count("*").alias("n"))))
         sets = shingled(checkpointed(nodes.select("node", "doc_id", "content").join(cluster.select("node"), "node")), documents, k)
-        clustered, largest = checkpointed(cluster.join(sets, "node")), cluster.agg(F.max("n")).first()[0]
+        clustered = checkpointed(cluster.join(sets, "node"))
+        clustered = salted_lookup(clustered, "cluster", F.col("node"), clustered.groupBy("cluster").agg(F.sum(F.octet_length("shingles").cast("long")).alias("bytes")))
         before, hubs = 0, FIRST_HUBS
-        while before < largest:
-            of = join(of, check(turns(clustered.where(F.col("n") > before), of, before, hubs, percent).distinct()))
+        while not (now := apart(clustered, of, before)).where("waiting").isEmpty():
+            of = join(of, check(turns(now, hubs, percent)))
             before, hubs = hubs, hubs * MORE_HUBS
     whole = nodes.select("node", "doc_id").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = salted_lookup(whole.drop("doc_id"), "component", F.col("node"), whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))).drop("component")
