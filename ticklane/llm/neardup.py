@@ -6,8 +6,8 @@ with the correction for chance agreement. What may reach the threshold is confir
 
 Texts of the same words (equal 128-bit digests of the lower-cased words) are one node, so that copies never meet each other;
 everything else is linked on full sets only, equal sets too. Each node is first held against the least node of its candidate
-groups, then, in groups that have members in different components after that, the members apart from the group's least node,
-its hub, against it. Groups that are not settled then
+groups, then, in groups of up to 64 that have members in different components after that, the members apart from the group's
+least node, its hub, against it. Groups that are not settled then
 are gathered to clusters, and nodes apart from their cluster's largest component are hubs themselves, in rounds of 512, 4096,
 ... for each cluster, by hash: blocks of hubs meet blocks of members inside tasks, on full sets of hashes, and of each hub one
 link to each other component leaves the task, to be confirmed on the texts. Two members of a group that end in different
@@ -40,6 +40,8 @@ WORDS = MINIMA * BITS // 64
 LEAST_ESTIMATE = 0.6
 #: Ids of some 60 bytes that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Nodes of a candidate group up to which its hub is held against all of them by itself.
+SMALL_GROUP = 64
 #: Bytes of sets in a block of hubs or members, hubs of a cluster in the first round, and how many times more after each round.
 BLOCK_BYTES, FIRST_HUBS, MORE_HUBS = 4_000_000, 512, 8
 PAIRS_A_SALT = 1_000
@@ -112,13 +114,13 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, content (hash of the text), n_shingles, node (equal for texts of the same words; null for none), signature and
+    """doc_id, content (hash of the text), n_shingles, digest (equal for texts of the same words; null for none), signature and
     bands of each document."""
     rows = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
 
     def start():
         def work(column):
-            parts = {"n_shingles": [], "node": [], "signature": [], "bands": []}
+            parts = {"n_shingles": [], "digest": [], "signature": [], "bands": []}
             for texts in S.pieces(column):
                 n = len(texts)
                 hashes, owner = shingle_sets(texts, k)
@@ -132,13 +134,13 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
                     parts[name].append(x)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
             return {
-                "n_shingles": pa.array(np.concatenate(parts["n_shingles"])), "node": pa.array(sum(parts["node"], []), pa.binary()),
+                "n_shingles": pa.array(np.concatenate(parts["n_shingles"])), "digest": pa.array(sum(parts["digest"], []), pa.binary()),
                 "signature": lists(np.concatenate(parts["signature"])), "bands": lists(np.concatenate(parts["bands"])),
             }
 
         return work
 
-    return map_texts(rows, "text", ["doc_id", "content"], "n_shingles long, node binary, signature array<long>, bands array<long>", start)
+    return map_texts(rows, "text", ["doc_id", "content"], "n_shingles long, digest binary, signature array<long>, bands array<long>", start)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -199,7 +201,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int,
                 good.append(100 * both >= percent * (len(mine) + len(its) - both))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return checkpointed(both_sides(pairs, texts, "text").mapInArrow(check, "a binary, b binary"))
+    return checkpointed(both_sides(pairs, texts, "text").mapInArrow(check, "a long, b long"))
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def unsettled(placed: DataFrame, of: DataFrame, least: int) -> DataFrame:
     component and main, the hub's."""
     parts = placed.where(F.col("size") >= least).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sums = parts.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("main")).where("low <> high")
-    return checkpointed(salted_lookup(parts, "band", F.col("node"), sums.select("band", "main")))
+    return salted_lookup(parts, "band", F.col("node"), sums.select("band", "main"))
 
 
 def shingled(nodes: DataFrame, documents: DataFrame, k: int) -> DataFrame:
@@ -236,7 +238,7 @@ def first_links(rows: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     since more would join nothing more."""
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
     size = np.array(list(map(len, sets)))
-    _, code = np.unique(np.array(rows.column("component").to_pylist(), object), return_inverse=True)
+    _, code = np.unique(rows.column("component").to_numpy(), return_inverse=True)
     is_hub = rows.column("is_hub").to_numpy(zero_copy_only=False)
     hubs, members = np.flatnonzero(is_hub), np.flatnonzero(~is_hub)
     if not len(hubs) or not len(members):
@@ -287,16 +289,17 @@ def turns(now: DataFrame, hubs: int, percent: int) -> DataFrame:
         node = rows.column("node")
         return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
-    return first.unionByName(rest).groupBy("cluster", "hub_block", "member_block").applyInArrow(compare, "a binary, b binary").distinct()
+    return first.unionByName(rest).groupBy("cluster", "hub_block", "member_block").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id: bool = True) -> DataFrame:
     """doc_id, content (hash of the text), n_shingles, component_id (the least doc_id reached by links) and kept for each row of
     documents (doc_id, text)."""
     sketched = checkpointed(sketches(documents, k))
-    known = sketched.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    nodes = checkpointed(nodes.select("node", "least.*", "signature", "bands"))
+    known = sketched.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    nodes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "content")).alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    # nodes are numbered, since their numbers travel with each band
+    nodes = checkpointed(checkpointed(nodes.select("digest", "least.*", "signature", "bands")).withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select("node", F.explode("bands").alias("band"))
     groups = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     placed = checkpointed(salted_lookup(members, "band", F.col("node"), groups))
@@ -305,14 +308,17 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id:
     firsts = placed.where("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).withColumnRenamed("node", "a")
     links = check(likely(firsts, nodes))
     if by_id:
-        several = known.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
-        links = links.unionByName(salted_lookup(known.select("doc_id", F.col("node").alias("a")), "doc_id", F.col("a"), several).select("a", "b"))
+        several = known.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").drop("high")
+        edges = salted_lookup(known.select("doc_id", "digest"), "doc_id", F.col("digest"), several).select("digest", "low").distinct()
+        number = lambda a, b: nodes.select(F.col("digest").alias(a), F.col("node").alias(b))
+        links = links.unionByName(edges.join(number("digest", "a"), "digest").join(number("low", "b"), "low").select("a", "b"))
     of = components(links)
     join = lambda of, more: components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    open_ = unsettled(placed, of, 2)
-    if not open_.isEmpty():
-        of = join(of, check(likely(open_.where("component <> main").select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes)))
-        open_ = unsettled(open_.select(*placed.columns), of, 3)
+    open_ = checkpointed(unsettled(placed, of, 2))
+    few = open_.where((F.col("component") != F.col("main")) & (F.col("size") <= SMALL_GROUP)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    if not few.isEmpty():
+        of = join(of, check(likely(few, nodes)))
+    open_ = unsettled(open_.select(*placed.columns), of, 3)
     if not open_.isEmpty():
         cluster = components(open_.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
         cluster = checkpointed(salted_lookup(cluster, "cluster", F.col("node"), cluster.groupBy("cluster").agg(F.count("*").alias("n"))))
@@ -325,6 +331,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id:
             before, hubs = hubs, hubs * MORE_HUBS
     whole = nodes.select("node", "doc_id").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = salted_lookup(whole.drop("doc_id"), "component", F.col("node"), whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))).drop("component")
-    found = salted_lookup(sketched.select("doc_id", "content", "n_shingles", "node"), "node", F.monotonically_increasing_id(), ids, "left")
+    ids = ids.join(nodes.select("node", "digest"), "node").drop("node")
+    found = salted_lookup(sketched.select("doc_id", "content", "n_shingles", "digest"), "digest", F.monotonically_increasing_id(), ids, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "content", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
