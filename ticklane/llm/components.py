@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklane.llm.common import checkpointed, salted_lookup, shuffle_width
+from ticklane.llm.common import SALTS, checkpointed, salted_lookup, shuffle_width
 
 EDGES_A_TASK = 20_000
 
@@ -15,7 +15,8 @@ def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = both if large else both.where("b < a")
     least = seen.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-    tied = salted_lookup(seen, "a", F.col("b"), least)  # a hub's star is dealt over several tasks
+    # a large graph's hubs are dealt over several tasks; a small one would only get more shuffle files
+    tied = salted_lookup(seen, "a", F.col("b"), least) if tasks >= SALTS else seen.join(least, "a")
     if large:
         tied = tied.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
