@@ -5,16 +5,15 @@ groups; of each minimum only the low BITS bits are kept, packed in a signature,
 with the correction for chance agreement. What may reach the threshold is confirmed on the full sets of the two texts.
 
 Texts of the same words (equal 128-bit digests of the lower-cased words) are one node, so that copies never meet each other;
-everything else is linked on full sets only, equal sets too. Each node is first held against the least node of its candidate
-groups, then, in groups of up to 64 that have members in different components after that, the members apart from the group's
-least node, its hub, against it. Groups that are not settled then
-are gathered to clusters, and nodes apart from their cluster's largest component are hubs themselves, in rounds of 512, 4096,
+everything else is linked on full sets only, equal sets too. Each node is first held against the least node, the hub, of each
+of its candidate groups of up to 64 nodes, and the least hub of its larger ones. Groups that have members in different
+components then are gathered to clusters, and nodes apart from their cluster's largest component are hubs themselves, in rounds of 512, 4096,
 ... for each cluster, by hash: blocks of hubs meet blocks of members inside tasks, on full sets of hashes, and of each hub one
 link to each other component leaves the task, to be confirmed on the texts. Two members of a group that end in different
 components have met, so no link that the bands find is lost (a pair at 0.8 shares one of the 32 bands of 5 with probability
 1 - 3e-6). A cluster costs its size times the blocks of hubs it still needs, so large groups of near copies cost their size
-where most of them are linked by then; members that link with nothing must each meet all. The rows of one group, hub or text
-are dealt over several tasks.
+where most of them are linked by then; members that link with nothing must each meet all. The rows of one band or text are
+dealt over several tasks; other joins leave hot keys to Spark's own splitting.
 
 Null and empty texts have no set and link with nothing. Rows with a null id are alone: no component, kept. Rows with equal
 ids are one document: their texts, if they differ, are in one component (unless ``by_id`` is off: then each text counts
@@ -44,7 +43,6 @@ BROADCAST_IDS = 500_000
 SMALL_GROUP = 64
 #: Bytes of sets in a block of hubs or members, hubs of a cluster in the first round, and how many times more after each round.
 BLOCK_BYTES, FIRST_HUBS, MORE_HUBS = 4_000_000, 512, 8
-PAIRS_A_SALT = 1_000
 
 
 def shingle_sets(texts: S.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,13 +170,9 @@ def texts_of(nodes: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def both_sides(pairs: DataFrame, looked: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) with ``column`` of both nodes, from looked (node, column). A node b of many pairs is repeated for each
-    PAIRS_A_SALT of them."""
-    many = salted_lookup(pairs, "b", F.col("a"), pairs.groupBy("b").agg(F.count("*").alias("many")))
-    many = many.withColumn("part", F.pmod(F.xxhash64("a", F.lit(1)), F.ceil(F.col("many") / F.lit(PAIRS_A_SALT)))).drop("many")
-    one = many.join(looked.select(F.col("node").alias("a"), F.col(column).alias("of_a")), "a")
-    other = many.select("b", "part").distinct().join(looked.select(F.col("node").alias("b"), F.col(column).alias("of_b")), "b")
-    return one.join(other, ["b", "part"]).select("a", "b", "of_a", "of_b")
+    """Pairs (a, b) with ``column`` of both nodes, from looked (node, column)."""
+    one = pairs.join(looked.select(F.col("node").alias("a"), F.col(column).alias("of_a")), "a")
+    return one.join(looked.select(F.col("node").alias("b"), F.col(column).alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -210,11 +204,10 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def unsettled(placed: DataFrame, of: DataFrame, least: int) -> DataFrame:
-    """The members of those groups (band, node, hub, size) of ``least`` nodes or more that have several components, with their
-    component and main, the hub's."""
+    """The members of those groups (band, node, hub, size) of ``least`` nodes or more that have several components."""
     parts = placed.where(F.col("size") >= least).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sums = parts.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("main")).where("low <> high")
-    return salted_lookup(parts, "band", F.col("node"), sums.select("band", "main"))
+    sums = parts.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return parts.join(sums.select("band"), "band").select("band", "node", "hub")
 
 
 def shingled(nodes: DataFrame, documents: DataFrame, k: int) -> DataFrame:
@@ -261,22 +254,21 @@ def first_links(rows: pa.Table, percent: int) -> tuple[list[int], list[int]]:
 
 
 def apart(clustered: DataFrame, of: DataFrame, before: int) -> DataFrame:
-    """Clusters (node, cluster, n, bytes, shingles) of several components, with each node's component, its turn (a hash below n)
+    """Clusters (node, cluster, n, bytes) of several components, with each node's component, its turn (a hash below n)
     and waiting: whether it is apart from the largest component and its turn is from ``before``."""
     now = clustered.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     turn = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
     sums = now.groupBy("cluster", "component").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    now = salted_lookup(now, "cluster", F.col("node"), sums.select("cluster", "main")).withColumn("turn", turn)
-    return now.withColumn("waiting", (F.col("component") != F.col("main")) & (F.col("turn") >= before))
+    now = now.join(sums.select("cluster", "main"), "cluster").withColumn("turn", turn)
+    return checkpointed(now.withColumn("waiting", (F.col("component") != F.col("main")) & (F.col("turn") >= before)))
 
 
-def turns(now: DataFrame, hubs: int, percent: int) -> DataFrame:
+def turns(now: DataFrame, sets: DataFrame, hubs: int, percent: int) -> DataFrame:
     """Links across components of what ``apart`` gives: waiting nodes whose turn is below ``hubs`` against all members of their
     clusters, in blocks of some BLOCK_BYTES of both. Clusters without such nodes send nothing."""
     now = now.withColumn("is_hub", F.col("waiting") & (F.col("turn") < hubs))
-    size = F.octet_length("shingles").cast("long")
-    sums = now.groupBy("cluster").agg(F.sum(F.when(F.col("is_hub"), size)).alias("hub_bytes")).where("hub_bytes IS NOT NULL")
-    now = salted_lookup(now, "cluster", F.col("node"), sums)
+    sums = now.groupBy("cluster").agg(F.sum(F.when(F.col("is_hub"), F.col("size"))).alias("hub_bytes")).where("hub_bytes IS NOT NULL")
+    now = now.join(sums, "cluster").join(sets, "node")
     count = lambda n: F.ceil(F.col(n) / F.lit(BLOCK_BYTES)).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(4)), count(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
@@ -304,9 +296,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id:
     groups = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     placed = checkpointed(salted_lookup(members, "band", F.col("node"), groups))
     check = lambda pairs: confirmed(pairs, nodes, documents, k, percent)
-    # each node and the least hub of its groups; then all hubs, where a group has several components yet
-    firsts = placed.where("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).withColumnRenamed("node", "a")
-    links = check(likely(firsts, nodes))
+    # each node and the hubs of its small groups, and the least one of its large groups
+    hub = F.when(F.col("size") <= SMALL_GROUP, F.col("hub"))
+    least = placed.where("node <> hub").groupBy("node").agg(F.min(F.when(hub.isNull(), F.col("hub"))).alias("large"), F.collect_set(hub).alias("small"))
+    links = check(likely(least.select(F.col("node").alias("a"), F.explode(F.array_compact(F.array_append("small", F.col("large")))).alias("b")), nodes))
     if by_id:
         several = known.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").drop("high")
         edges = salted_lookup(known.select("doc_id", "digest"), "doc_id", F.col("digest"), several).select("digest", "low").distinct()
@@ -314,23 +307,18 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id:
         links = links.unionByName(edges.join(number("digest", "a"), "digest").join(number("low", "b"), "low").select("a", "b"))
     of = components(links)
     join = lambda of, more: components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    open_ = checkpointed(unsettled(placed, of, 2))
-    few = open_.where((F.col("component") != F.col("main")) & (F.col("size") <= SMALL_GROUP)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    if not few.isEmpty():
-        of = join(of, check(likely(few, nodes)))
-    open_ = unsettled(open_.select(*placed.columns), of, 3)
+    open_ = checkpointed(unsettled(placed, of, 3))
     if not open_.isEmpty():
         cluster = components(open_.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
-        cluster = checkpointed(salted_lookup(cluster, "cluster", F.col("node"), cluster.groupBy("cluster").agg(F.count("*").alias("n"))))
-        sets = shingled(checkpointed(nodes.select("node", "doc_id", "content").join(cluster.select("node"), "node")), documents, k)
-        clustered = checkpointed(cluster.join(sets, "node"))
-        clustered = salted_lookup(clustered, "cluster", F.col("node"), clustered.groupBy("cluster").agg(F.sum(F.octet_length("shingles").cast("long")).alias("bytes")))
+        sets = checkpointed(shingled(nodes.select("node", "doc_id", "content").join(open_.select("node").distinct(), "node"), documents, k))
+        sized = checkpointed(cluster.join(sets.select("node", F.octet_length("shingles").cast("long").alias("size")), "node"))
+        clustered = sized.join(sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "cluster")
         before, hubs = 0, FIRST_HUBS
         while not (now := apart(clustered, of, before)).where("waiting").isEmpty():
-            of = join(of, check(turns(now, hubs, percent)))
+            of = join(of, check(turns(now, sets, hubs, percent)))
             before, hubs = hubs, hubs * MORE_HUBS
     whole = nodes.select("node", "doc_id").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = salted_lookup(whole.drop("doc_id"), "component", F.col("node"), whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))).drop("component")
+    ids = whole.drop("doc_id").join(whole.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").drop("component")
     ids = ids.join(nodes.select("node", "digest"), "node").drop("node")
     found = salted_lookup(sketched.select("doc_id", "content", "n_shingles", "digest"), "digest", F.monotonically_increasing_id(), ids, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
