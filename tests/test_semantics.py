@@ -127,3 +127,27 @@ def test_native_trades(spark, tmp_path):
     got = readers.native_trades(spark, str(tmp_path / "d"), "20260922")
     assert sorted((r.side or "", r.amount, r.pid) for r in got.collect()) == [("", 100.0, None), ("B", 100.0, 0)]
     assert len(readers.fingerprint(spark.read.parquet(str(tmp_path / "d")))) == 64
+
+
+def test_an_event_is_settled_however_late(spark):
+    ratios = [5.0, -4.0] + [-3.0] * 39 + [2.0]
+    rows = [("a", i, 100.0, r, 0.0, r) for i, r in enumerate(ratios)]
+    facts = spark.createDataFrame(rows, "code string, i long, amount double, net double, unknown double, ratio double")
+    from ticklane.plans.state import lifecycles
+
+    got = {(r.i, r.kind): (r.status, r.settled_i) for r in lifecycles(facts).collect()}
+    assert got[1, "BUY_TO_SELL"] == ("INVALIDATED", 41) and got[41, "SELL_TO_BUY"] == ("ACTIVE", None)
+    assert lifecycles(facts.limit(0)).count() == 0
+
+
+def test_limit_list_names_codes_and_repeats(spark):
+    import pytest
+
+    from ticklane.sources.readers import limit_list
+
+    rows = [("000001.SZ", "plain", 1.0, "U"), ("000002.SZ", " st abc", 1.0, "U"), ("000004.SZ", "*st x", 1.0, "U"), (None, "x", 1.0, "U"), ("600000.SH", "  ", 1.0, "U"), ("600004.SH", "y", None, "U"), ("000001.SZ", "down", 1.0, "D")]
+    df = spark.createDataFrame(rows, "ts_code string, name string, close double, limit string")
+    got = {r.ts_code: r.reason for r in limit_list(df).collect()}
+    assert got == {"000001.SZ": None, "000002.SZ": "special", "000004.SZ": "special", None: "outside", "600000.SH": "no name", "600004.SH": "bad close"}
+    with pytest.raises(ValueError):
+        limit_list(df.unionByName(df))

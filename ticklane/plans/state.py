@@ -62,17 +62,19 @@ def flow_events(facts: DataFrame) -> DataFrame:
     return both.where("u AND u_prev").withColumn("kind", X.event_kind("ratio_prev", "ratio")).where("kind IS NOT NULL").select("code", "i", "kind", F.col("ratio_prev").alias("before"), "ratio")
 
 
-def lifecycles(facts: DataFrame, horizon: int = 20) -> DataFrame:
-    """Status of each event after the next ``horizon`` sessions of the grid, and the session at which it was settled; the
-    first later row that isn't ACTIVE decides."""
-    dense = panel(facts).withColumn("u", X.usable_event())
-    last = facts.agg(F.max("i")).first()[0]
-    dense = previous_session(dense, ["code"], "i", ["ratio"]).select("code", F.col("i").alias("later"), "u", F.col("ratio").alias("now"), F.col("ratio_prev").alias("was"))
-    events = flow_events(facts).select("code", "i", "kind", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))).alias("h")).withColumn("later", F.col("i") + F.col("h"))
-    ahead = events.where(F.col("later") <= F.lit(last)).join(dense, ["code", "later"])
-    step = ahead.withColumn("step", X.lifecycle_step("kind", "was", "now", "u")).where("step <> 'ACTIVE'")
-    settled = step.groupBy("code", "i", "kind").agg(F.min(F.struct("later", "step")).alias("s"))
-    return flow_events(facts).join(settled, ["code", "i", "kind"], "left").select("code", "i", "kind", F.coalesce("s.step", F.lit("ACTIVE")).alias("status"), F.col("s.later").alias("settled_i"))
+def lifecycles(facts: DataFrame) -> DataFrame:
+    """Status of each event after all later sessions of the grid, and the session at which it was settled; the first later
+    row that isn't ACTIVE decides, however late. One pass over each code's sessions, from the last to the first."""
+    dense = previous_session(panel(facts).withColumn("u", X.usable_event()), ["code"], "i", ["ratio", "u"])
+    rows = dense.withColumn("kind", F.when(F.col("u") & F.col("u_prev"), X.event_kind("ratio_prev", "ratio")))
+    later = Window.partitionBy("code").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    settled = F.lit(None)
+    for kind in ("SELL_TO_BUY", "BUY_TO_SELL", "SELL_EASING", "SELL_WORSENING"):
+        step = X.lifecycle_step(F.lit(kind), "ratio_prev", "ratio", "u")
+        rows = rows.withColumn(kind, F.last(F.when(step != "ACTIVE", F.struct(F.col("i").alias("later"), step.alias("step"))), ignorenulls=True).over(later))
+        settled = F.when(F.col("kind") == kind, F.col(kind)).otherwise(settled)
+    rows = rows.where("kind IS NOT NULL").withColumn("s", settled)
+    return rows.select("code", "i", "kind", F.coalesce("s.step", F.lit("ACTIVE")).alias("status"), F.col("s.later").alias("settled_i"))
 
 
 def peers(day: DataFrame, caps: DataFrame) -> DataFrame:

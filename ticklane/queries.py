@@ -23,6 +23,11 @@ def query(sql: str | None = None):
     return register
 
 
+def latest(rows: DataFrame, back: int) -> int:
+    """The session ``back`` before the last one; of an empty table a session that nothing is in."""
+    return (rows.agg(F.max("i")).first()[0] or 0) - back
+
+
 def R(x: str, digits: int = 4) -> str:  # noqa: N802
     return D.rounded_sql(x, digits)
 
@@ -79,7 +84,7 @@ _POOLS = " UNION ALL ".join(f"(SELECT code, ratio, ret, {at} AS o, '{name}' AS p
 SELECT code, arg_min(pool, o) AS pool, arg_min(ratio, o) AS ratio, arg_min(ret, o) AS ret FROM u GROUP BY code""")
 def candidate_pools(spark: SparkSession, sf: str) -> DataFrame:
     x = flow.labelled(D.facts(spark, sf))
-    last = x.agg(F.max("i")).first()[0] - 12
+    last = latest(x, 12)
     return flow.pools(x.where(F.col("i") == last), 100_000)
 
 
@@ -124,7 +129,7 @@ def flow_events(spark: SparkSession, sf: str) -> DataFrame:
 ahead AS (SELECT e.code, e.i, e.kind, n.i AS later, CASE WHEN NOT n.u THEN 'UNKNOWN'
   WHEN kind = 'SELL_EASING' AND n.ratio >= 0 THEN 'RESOLVED' WHEN kind = 'SELL_EASING' AND n.ratio <= p.ratio THEN 'INVALIDATED' WHEN kind = 'SELL_WORSENING' AND n.ratio >= 0 THEN 'RESOLVED'
   WHEN kind = 'SELL_WORSENING' AND n.ratio >= p.ratio THEN 'INVALIDATED' WHEN kind = 'SELL_TO_BUY' AND n.ratio <= 0 THEN 'INVALIDATED' WHEN kind = 'BUY_TO_SELL' AND n.ratio >= 0 THEN 'INVALIDATED' ELSE 'ACTIVE' END AS step
-  FROM e JOIN g n ON n.code = e.code AND n.i > e.i AND n.i <= e.i + 20 JOIN g p ON p.code = n.code AND p.i = n.i - 1),
+  FROM e JOIN g n ON n.code = e.code AND n.i > e.i JOIN g p ON p.code = n.code AND p.i = n.i - 1),
 s AS (SELECT code, i, kind, arg_min(step, later) AS step, min(later) AS later FROM ahead WHERE step <> 'ACTIVE' GROUP BY ALL)
 SELECT e.code, e.i, e.kind, coalesce(step, 'ACTIVE') AS status, later AS settled_i FROM e LEFT JOIN s USING (code, i, kind)""")
 def event_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +143,7 @@ r AS (SELECT *, count(ratio) OVER (PARTITION BY size_group) AS peer_count, rank(
 SELECT code, size_group, liquidity_group, peer_count, CASE WHEN ratio IS NOT NULL AND peer_count >= 20 THEN {R("100 * (r - 1 + t / 2) / peer_count")} END AS percentile FROM r""")
 def peer_groups(spark: SparkSession, sf: str) -> DataFrame:
     facts = D.facts(spark, sf)
-    last = facts.agg(F.max("i")).first()[0] - 12
+    last = latest(facts, 12)
     caps = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_acctbal").alias("cap"))
     return rounded(state.peers(facts.where(F.col("i") == last), caps).select("code", "size_group", "liquidity_group", "peer_count", "percentile"), percentile=4)
 
@@ -149,7 +154,7 @@ SELECT i, {R("sum(amount)", 2)} AS amount, count(*) FILTER (code IN (FROM c)) AS
  {R("100 * avg(CASE WHEN ratio > 0 THEN 1 ELSE 0 END) FILTER (code IN (FROM c))")} AS buy_share FROM w GROUP BY i""")
 def view_breadth(spark: SparkSession, sf: str) -> DataFrame:
     facts = D.facts(spark, sf)
-    last = facts.agg(F.max("i")).first()[0] - 12
+    last = latest(facts, 12)
     return rounded(state.breadth(facts, last - 2, last), amount=2, common_amount=2, common_net=2, buy_share=4)
 
 
@@ -159,7 +164,7 @@ SELECT count(*) FILTER (b > a) AS improve, count(*) FILTER (b < a) AS worsen, co
  count(*) FILTER (a < 0 AND b > 0) AS to_buy, count(*) FILTER (a > 0 AND b < 0) AS to_sell FROM j""")
 def change_counts(spark: SparkSession, sf: str) -> DataFrame:
     facts = D.facts(spark, sf)
-    return state.change_counts(facts, facts.agg(F.max("i")).first()[0] - 12)
+    return state.change_counts(facts, latest(facts, 12))
 
 
 @query(f"""WITH s AS ({D.STREAM}) SELECT t.code, t.us, t.event_id, t.value, q.us AS right_time, q.value AS quote, coalesce(t.us - q.us <= 1800000000, false) AS fresh
@@ -285,7 +290,7 @@ o AS (SELECT e.code, e.i, e.kind, p.h AS horizon, CASE WHEN e.i + 5 <= m - 40 TH
 
 def _observations(spark: SparkSession, sf: str) -> DataFrame:
     facts = D.facts(spark, sf)
-    return study.observations(facts, [1, 3, 5], facts.agg(F.max("i")).first()[0] - 40)
+    return study.observations(facts, [1, 3, 5], latest(facts, 40))
 
 
 @query(_OBS + f" SELECT code, i, kind, horizon, cohort, status, {R('outcome')} AS outcome, {R('benchmark')} AS benchmark, pool_n, {R('excess')} AS excess FROM o")
@@ -334,7 +339,7 @@ _PAGE = f"SELECT * FROM ({STATES}) WHERE i = (SELECT max(i) - 12 FROM ({D.FACTS}
 @query(f"SELECT * FROM ({_PAGE}) WHERE level < 0 AND improve >= 1 AND amount_change >= -50 ORDER BY delta DESC NULLS LAST, code LIMIT 20")
 def state_page(spark: SparkSession, sf: str) -> DataFrame:
     facts = D.facts(spark, sf)
-    last = facts.agg(F.max("i")).first()[0] - 12
+    last = latest(facts, 12)
     rows = state.states(state.panel(facts), 5).where(F.col("i") == last)
     return filters.select_states(rows, preset="relief", ranges={"amount_change": (-50, None)}, sort="delta")
 

@@ -63,13 +63,17 @@ def window_days(calendar: DataFrame, day: str, length: int) -> list:
 
 
 def limit_list(rows: DataFrame) -> DataFrame:
-    """Rows (ts_code, name, close, limit) at the upper limit with the first reason to leave them out (null: eligible)."""
-    special = F.col("name").rlike(r"^(?:S\*?ST|\*?ST)")
-    reason = (
-        F.when(~F.col("ts_code").rlike(X.UNIVERSE), "outside").when(F.coalesce(F.trim("name"), F.lit("")) == "", "no name").when(special, "special")
-        .when(~F.coalesce(X.finite(F.col("close").cast("double")) & (F.col("close").cast("double") > 0), F.lit(False)), "bad close")
-    )
-    return rows.where(F.col("limit") == "U").withColumn("reason", reason)
+    """Rows (ts_code, name, close, limit) at the upper limit with the first reason to leave them out (null: eligible). Names
+    are trimmed and upper-cased before they are looked at; a code that stands there twice raises."""
+    upper = rows.where(F.col("limit") == "U")
+    twice = upper.groupBy("ts_code").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"limit list: {twice['ts_code']} stands there {twice['count']} times")
+    name = F.upper(F.trim(F.coalesce("name", F.lit(""))))
+    inside = F.coalesce(F.col("ts_code").rlike(X.UNIVERSE), F.lit(False))
+    priced = F.coalesce(X.finite(F.col("close").cast("double")) & (F.col("close").cast("double") > 0), F.lit(False))
+    reason = F.when(~inside, "outside").when(name == "", "no name").when(name.rlike(r"^(?:S\*?ST|\*?ST)"), "special").when(~priced, "bad close")
+    return upper.withColumn("reason", reason)
 
 
 def one_value(rows: DataFrame, key: str, value: str) -> DataFrame:
