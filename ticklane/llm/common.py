@@ -14,6 +14,8 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of labels with their rates that are broadcast at most; more of them are joined by a shuffle.
+RATES_BYTES = 16 << 20
 #: Tasks over which the rows of one key are dealt.
 SALTS = 16
 BATCH_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
@@ -113,7 +115,9 @@ def fitting_sample(rows: DataFrame, label: str, per_label: int, last: Column | N
     lacking = F.greatest(F.lit(0.0), F.lit(float(per_label)) - F.col("others"))
     rates = counts.select(
         label, F.try_divide(F.lit(float(per_label)), F.col("others")).alias("rate"), F.try_divide(lacking, F.col("all") - F.col("others")).alias("last_rate"))
-    rated = salted_lookup(usable, label, F.col("doc_id"), rates).withColumn("rate", F.when(F.col("last"), F.col("last_rate")).otherwise(F.col("rate")))
+    rates = checkpointed(rates)
+    size = rates.agg(F.sum(F.octet_length(F.col(label).cast("string")) + 32)).first()[0] or 0
+    rated = usable.join(F.broadcast(rates), label) if size <= RATES_BYTES else salted_lookup(usable, label, F.col("doc_id"), rates).withColumn("rate", F.when(F.col("last"), F.col("last_rate")).otherwise(F.col("rate")))
     spread = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rated.where(spread < F.col("rate")).drop("rate", "last_rate", "last")
 
