@@ -1,7 +1,8 @@
 import pytest
 
 from compare import same
-from ticklane.queries import QUERIES, SQL
+from ticklane import queries, report_queries, study_queries  # noqa: F401  they register
+from ticklane.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

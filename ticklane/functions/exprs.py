@@ -160,7 +160,7 @@ def spread_bps(bid, ask) -> Column:
 
 def microprice_bps(bid, ask, bid_qty, ask_qty) -> Column:
     b, a, p, q = map(col, (bid, ask, bid_qty, ask_qty))
-    return F.when((b > 0) & (a >= b) & (p > 0) & (q > 0), 10000 * (a - b) * (p - q) / ((a + b) * (p + q)))
+    return F.when((b > 0) & (a >= b) & (p >= 0) & (q >= 0) & (p + q > 0), 10000 * (a - b) * (p - q) / ((a + b) * (p + q)))
 
 
 def ladder_imbalance(bid_px, ask_px, bid_qty, ask_qty, weighted: bool = False) -> Column:
@@ -170,10 +170,11 @@ def ladder_imbalance(bid_px, ask_px, bid_qty, ask_qty, weighted: bool = False) -
     n = F.size(bp)
     steps = lambda x, down: F.forall(F.sequence(F.lit(2), n), lambda i: (F.get(x, i - 2) > F.get(x, i - 1)) if down else (F.get(x, i - 2) < F.get(x, i - 1)))
     positive = lambda x: F.forall(x, lambda v: F.coalesce(v > 0, F.lit(False)))
-    valid = (n > 1) & (F.size(ap) == n) & positive(bp) & positive(ap) & positive(bq) & positive(aq) & steps(bp, True) & steps(ap, False) & (F.get(ap, F.lit(0)) >= F.get(bp, F.lit(0)))
+    counted = lambda x: (F.size(x) == n) & F.forall(x, lambda v: F.coalesce(v >= 0, F.lit(False)))
+    valid = (n > 1) & (F.size(ap) == n) & positive(bp) & positive(ap) & counted(bq) & counted(aq) & steps(bp, True) & steps(ap, False) & (F.get(ap, F.lit(0)) >= F.get(bp, F.lit(0)))
     best_b, best_a = F.get(bp, F.lit(0)), F.get(ap, F.lit(0))
     scale = F.when(best_a > best_b, best_a - best_b).otherwise(F.least(best_b - F.get(bp, F.lit(1)), F.get(ap, F.lit(1)) - best_a))
     weigh = (lambda best: lambda p, q: q / (1 + F.abs(p - best) / scale)) if weighted else (lambda best: lambda p, q: q.cast("double"))
     total = lambda p, q, best: F.aggregate(F.zip_with(p, q, weigh(best)), F.lit(0.0), lambda acc, x: acc + x)
     bids, asks = total(bp, bq, best_b), total(ap, aq, best_a)
-    return F.when(valid, 100 * (bids - asks) / (bids + asks))
+    return F.when(valid & (bids + asks > 0), 100 * (bids - asks) / (bids + asks))

@@ -39,6 +39,15 @@ def clock_profile(rows: DataFrame, day: str) -> DataFrame:
         F.count_if(F.col("t") == 0).alias("zero_clock"), F.count_if(F.col("t") > 150000000).alias("after_close"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
+def direction_totals(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """By keys: trades, amount, known net, amount of unknown side and its share (null without an amount), and trades of a known
+    side whose parent's id is not above 0."""
+    sums = trades.groupBy(*keys).agg(
+        F.count("*").alias("trades"), F.sum("amount").alias("amount"), X.known_net().alias("known_net"), X.unknown_amount().alias("unknown"),
+        F.count_if(F.col("side").isin("B", "S") & ~F.coalesce(F.col("pid") > 0, F.lit(False))).alias("bad_ids"))
+    return sums.withColumn("unknown_rate", X.ratio("unknown", "amount"))
+
+
 def regressions(rows: DataFrame, code: str, time: str, place: str) -> DataFrame:
     """One row: pairs of rows of a code next to each other in physical order, steps back in time, codes with any."""
     was = F.lag(time).over(Window.partitionBy(code).orderBy(place))

@@ -7,35 +7,17 @@ from pyspark.sql import functions as F
 
 from ticklane.functions import exprs as X
 from ticklane.plans import calibration, filters, flow, micro, minutes, patterns, quality, state, study
+from ticklane.registry import QUERIES, SQL, R, query, rounded
 from ticklane.sources import domain as D
 
-QUERIES, SQL = {}, {}
 HOUR = 3_600_000_000
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def latest(rows: DataFrame, back: int) -> int:
     """The session ``back`` before the last one; of an empty table a session that nothing is in."""
     return (rows.agg(F.max("i")).first()[0] or 0) - back
 
 
-def R(x: str, digits: int = 4) -> str:  # noqa: N802
-    return D.rounded_sql(x, digits)
-
-
-def rounded(df: DataFrame, **digits: int) -> DataFrame:
-    return df.select(*[X.rounded(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
-
-
 LABELLED = f"""SELECT *, CASE WHEN ret IS NULL OR net IS NULL THEN 'unknown' WHEN ret > 0 AND net > 0 THEN 'push' WHEN ret BETWEEN -3 AND 0 AND net > 0 THEN 'support'
   WHEN ret BETWEEN -1 AND 3 AND net < 0 THEN 'passive' WHEN ret > 0 AND net < 0 THEN 'diverge' ELSE 'other' END AS label
  FROM (SELECT f.*, {R("100 * (f.close / p.close - 1)")} AS ret FROM ({D.FACTS}) f LEFT JOIN ({D.FACTS}) p ON p.code = f.code AND p.i = f.i - 1)"""

@@ -77,3 +77,46 @@ def stream(spark: SparkSession, sf_dir: str, codes: int = 10) -> DataFrame:
 
 
 STREAM = "SELECT user_id % 10 AS code, epoch_us(ts) AS us, CASE event_type WHEN 'view' THEN 'quote' WHEN 'purchase' THEN 'B' WHEN 'signup' THEN 'S' ELSE '?' END AS kind, value, event_id FROM events"
+
+
+#: Clock of an event's day, laid over the session: 24 hours become 09:00 to 14:59, in whole minutes.
+_CLOCK = "(9 + hour(ts) div 4) * 10000000 + (hour(ts) % 4 * 15 + minute(ts) div 4) * 100000"
+_CLOCK_SQL = "CAST((9 + hour(ts) // 4) * 10000000 + (hour(ts) % 4 * 15 + minute(ts) // 4) * 100000 AS BIGINT)"
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-book snapshots of a code (user) in a session (week i): trade_day, t (HHMMSSmmm; null where it can't be read),
+    event_id, last, pre_close, volume and amount of the day so far, ten levels bid, ask, bid_qty, ask_qty, best first."""
+    x = table(spark, sf_dir, "events").where("event_type IN ('view', 'click', 'error')")
+    i, e = F.expr("CAST(dayofyear(ts) div 7 AS long)"), F.col("event_id")
+    best = 1000 + e % 4 * 10
+    levels = lambda f: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: f(k).cast("double"))
+    ask = best + e % 6 - F.when(e % 13 == 0, 2).otherwise(0)
+    return x.select(
+        F.col("user_id").alias("code"), i.alias("i"), F.when(e % 1997 == 0, "other").otherwise(i.cast("string")).alias("trade_day"),
+        F.when(e % 23 == 0, None).when(e % 31 == 0, 150000000 + e % 900).otherwise(F.expr(_CLOCK)).cast("long").alias("t"), "event_id",
+        F.when(e % 17 == 0, 0.0).otherwise(F.col("value")).alias("last"), (10 + F.col("user_id") % 90).cast("double").alias("pre_close"), (e % 1000 * 100).cast("double").alias("volume"), (e % 1000 * F.col("value")).alias("amount"),
+        levels(lambda k: best - k * (1 + e % 3 - (e % 29 == 0).cast("int"))).alias("bid"), levels(lambda k: ask + k * (1 + e % 5)).alias("ask"),
+        levels(lambda k: F.when(e % 19 != 0, e * (k + 3) % 7 * 100)).alias("bid_qty"), levels(lambda k: e * (k + 5) % 11 * 100).alias("ask_qty"),
+    )
+
+
+SNAPSHOTS = f"""SELECT code, i, CASE WHEN e % 1997 = 0 THEN 'other' ELSE CAST(i AS VARCHAR) END AS trade_day, CASE WHEN e % 23 = 0 THEN NULL WHEN e % 31 = 0 THEN 150000000 + e % 900 ELSE clock END AS t, e AS event_id,
+ CASE WHEN e % 17 = 0 THEN 0.0 ELSE value END AS last, CAST(10 + code % 90 AS DOUBLE) AS pre_close, CAST(e % 1000 * 100 AS DOUBLE) AS volume, e % 1000 * value AS amount,
+ [CAST(best - k * (1 + e % 3 - CASE WHEN e % 29 = 0 THEN 1 ELSE 0 END) AS DOUBLE) for k in range(10)] AS bid, [CAST(best + e % 6 - CASE WHEN e % 13 = 0 THEN 2 ELSE 0 END + k * (1 + e % 5) AS DOUBLE) for k in range(10)] AS ask,
+ [CASE WHEN e % 19 <> 0 THEN CAST(e * (k + 3) % 7 * 100 AS DOUBLE) END for k in range(10)] AS bid_qty, [CAST(e * (k + 5) % 11 * 100 AS DOUBLE) for k in range(10)] AS ask_qty
+ FROM (SELECT user_id AS code, event_id AS e, CAST(dayofyear(ts) // 7 AS BIGINT) AS i, {_CLOCK_SQL} AS clock, 1000 + event_id % 4 * 10 AS best, value FROM events WHERE event_type IN ('view', 'click', 'error'))"""
+
+
+def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of the same codes and sessions as the snapshots: code, i, trade_day, t, price, qty, amount, side, pid."""
+    x = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'signup')")
+    e = F.col("event_id")
+    i, qty = F.expr("CAST(dayofyear(ts) div 7 AS long)"), (e % 50 + 1).cast("double")
+    side = F.when(e % 37 == 0, "C").when(e % 41 == 0, "?").when(F.col("event_type") == "purchase", "B").otherwise("S")
+    return x.select(F.col("user_id").alias("code"), i.alias("i"), F.when(e % 499 == 0, "other").otherwise(i.cast("string")).alias("trade_day"), F.when(e % 101 == 0, 126000000).otherwise(F.expr(_CLOCK)).cast("long").alias("t"), F.col("value").alias("price"), qty.alias("qty"), (F.col("value") * qty).alias("amount"), side.alias("side"), (e % 7 * 3).alias("pid"))
+
+
+PRINTS = f"""SELECT user_id AS code, i, CASE WHEN event_id % 499 = 0 THEN 'other' ELSE CAST(i AS VARCHAR) END AS trade_day, CASE WHEN event_id % 101 = 0 THEN 126000000 ELSE clock END AS t, value AS price, CAST(event_id % 50 + 1 AS DOUBLE) AS qty,
+ value * CAST(event_id % 50 + 1 AS DOUBLE) AS amount, CASE WHEN event_id % 37 = 0 THEN 'C' WHEN event_id % 41 = 0 THEN '?' WHEN event_type = 'purchase' THEN 'B' ELSE 'S' END AS side, event_id % 7 * 3 AS pid
+ FROM (SELECT *, CAST(dayofyear(ts) // 7 AS BIGINT) AS i, {_CLOCK_SQL} AS clock FROM events WHERE event_type IN ('purchase', 'signup'))"""
