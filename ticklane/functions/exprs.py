@@ -178,3 +178,14 @@ def ladder_imbalance(bid_px, ask_px, bid_qty, ask_qty, weighted: bool = False) -
     total = lambda p, q, best: F.aggregate(F.zip_with(p, q, weigh(best)), F.lit(0.0), lambda acc, x: acc + x)
     bids, asks = total(bp, bq, best_b), total(ap, aq, best_a)
     return F.when(valid & (bids + asks > 0), 100 * (bids - asks) / (bids + asks))
+
+
+def content_id(record) -> Column:
+    """sha256 of a record's JSON: a struct's fields in their order, without spaces."""
+    return F.sha2(F.to_json(col(record)), 256)
+
+
+def event_id(*parts: str) -> Column:
+    """The first 20 hex digits of the sha256 of the parts as a JSON list of texts; null if one is null."""
+    texts = F.array(*(F.col(p).cast("string") for p in parts))
+    return F.when(F.forall(texts, lambda x: x.isNotNull()), F.substring(F.sha2(F.to_json(texts), 256), 1, 20))

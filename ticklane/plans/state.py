@@ -77,13 +77,18 @@ def lifecycles(facts: DataFrame) -> DataFrame:
     return rows.select("code", "i", "kind", F.coalesce("s.step", F.lit("ACTIVE")).alias("status"), F.col("s.later").alias("settled_i"))
 
 
-def peers(day: DataFrame, caps: DataFrame) -> DataFrame:
-    """Groups of equal count by market value and by amount, and the midrank percentile of the level inside both."""
-    rows = day.join(caps, "code").where("cap IS NOT NULL AND amount IS NOT NULL")
-    rows = equal_count_group(rows, [], ["cap", "code"], "size_group")
-    rows = equal_count_group(rows, [], ["amount", "code"], "liquidity_group")
-    rows = rows.withColumn("peer_count", F.count("ratio").over(Window.partitionBy("size_group")))
-    return midrank_percentile(rows, ["size_group"], "ratio", "percentile")
+def peers(facts: DataFrame, caps: DataFrame) -> DataFrame:
+    """In each session: groups of equal count by market value and by amount, the number of levels in both groups, and the
+    midrank percentile of the level inside both. A session's codes are ordered in one task, sessions in many."""
+    rows = facts.join(caps, "code")
+    for name, by in (("size", "cap"), ("liquidity", "amount")):
+        known = F.col(by).isNotNull()
+        rows = equal_count_group(rows.withColumn("ranked", known), ["i", "ranked"], [by, "code"], f"{name}_group")
+        rows = rows.withColumn(f"{name}_group", F.when(known, F.col(f"{name}_group")))
+        rows = rows.withColumn(f"{name}_peers", F.when(known, F.count("ratio").over(Window.partitionBy("i", f"{name}_group"))))
+        rows = midrank_percentile(rows, ["i", f"{name}_group"], "ratio", f"{name}_percentile")
+        rows = rows.withColumn(f"{name}_percentile", F.when(known, F.col(f"{name}_percentile")))
+    return rows.drop("ranked")
 
 
 def breadth(facts: DataFrame, start: int, end: int) -> DataFrame:

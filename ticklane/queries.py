@@ -118,16 +118,18 @@ def event_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return state.lifecycles(D.facts(spark, sf))
 
 
-@query(f"""WITH x AS (SELECT f.code, amount, ratio, s_acctbal AS cap FROM ({D.FACTS}) f JOIN supplier ON s_suppkey = f.code WHERE i = (SELECT max(i) - 12 FROM ({D.FACTS}))),
-n AS (SELECT *, count(*) OVER () AS n, least(10, greatest(1, count(*) OVER () // 20)) AS g, row_number() OVER (ORDER BY cap, code) AS rc, row_number() OVER (ORDER BY amount, code) AS ra FROM x),
-k AS (SELECT code, ratio, CAST((rc - 1) * g // n + 1 AS BIGINT) AS size_group, CAST((ra - 1) * g // n + 1 AS BIGINT) AS liquidity_group FROM n),
-r AS (SELECT *, count(ratio) OVER (PARTITION BY size_group) AS peer_count, rank() OVER (PARTITION BY size_group ORDER BY ratio NULLS LAST) AS r, count(*) OVER (PARTITION BY size_group, ratio) AS t FROM k)
-SELECT code, size_group, liquidity_group, peer_count, CASE WHEN ratio IS NOT NULL AND peer_count >= 20 THEN {R("100 * (r - 1 + t / 2) / peer_count")} END AS percentile FROM r""")
+@query(f"""WITH x AS (SELECT f.code, i, amount, ratio, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS cap FROM ({D.FACTS}) f JOIN supplier ON s_suppkey = f.code),
+k AS (SELECT *, CAST((row_number() OVER (PARTITION BY i, cap IS NULL ORDER BY cap, code) - 1) * least(10, greatest(1, count(*) OVER (PARTITION BY i, cap IS NULL) // 20)) // count(*) OVER (PARTITION BY i, cap IS NULL) + 1 AS BIGINT) AS size_group,
+ CAST((row_number() OVER (PARTITION BY i, amount IS NULL ORDER BY amount, code) - 1) * least(10, greatest(1, count(*) OVER (PARTITION BY i, amount IS NULL) // 20)) // count(*) OVER (PARTITION BY i, amount IS NULL) + 1 AS BIGINT) AS liquidity_group FROM x),
+g AS (SELECT code, i, ratio, CASE WHEN cap IS NOT NULL THEN size_group END AS size_group, CASE WHEN amount IS NOT NULL THEN liquidity_group END AS liquidity_group FROM k),
+r AS (SELECT *, count(ratio) OVER s AS sn, count(ratio) OVER l AS ln, rank() OVER (PARTITION BY i, size_group ORDER BY ratio NULLS LAST) AS sr, rank() OVER (PARTITION BY i, liquidity_group ORDER BY ratio NULLS LAST) AS lr,
+ count(*) OVER (PARTITION BY i, size_group, ratio) AS st, count(*) OVER (PARTITION BY i, liquidity_group, ratio) AS lt FROM g WINDOW s AS (PARTITION BY i, size_group), l AS (PARTITION BY i, liquidity_group))
+SELECT code, i, size_group, liquidity_group, CASE WHEN size_group IS NOT NULL THEN sn END AS size_peers, CASE WHEN liquidity_group IS NOT NULL THEN ln END AS liquidity_peers,
+ CASE WHEN ratio IS NOT NULL AND size_group IS NOT NULL AND sn >= 20 THEN {R("100 * (sr - 1 + st / 2) / sn")} END AS size_percentile, CASE WHEN ratio IS NOT NULL AND liquidity_group IS NOT NULL AND ln >= 20 THEN {R("100 * (lr - 1 + lt / 2) / ln")} END AS liquidity_percentile FROM r""")
 def peer_groups(spark: SparkSession, sf: str) -> DataFrame:
-    facts = D.facts(spark, sf)
-    last = latest(facts, 12)
-    caps = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_acctbal").alias("cap"))
-    return rounded(state.peers(facts.where(F.col("i") == last), caps).select("code", "size_group", "liquidity_group", "peer_count", "percentile"), percentile=4)
+    caps = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("cap"))
+    rows = state.peers(D.facts(spark, sf), caps)
+    return rounded(rows.select("code", "i", *(f"{n}_{x}" for x in ("group", "peers", "percentile") for n in ("size", "liquidity"))), size_percentile=4, liquidity_percentile=4)
 
 
 @query(f"""WITH f AS ({D.FACTS}), m AS (SELECT max(i) - 12 AS m FROM f), w AS (SELECT f.*, coalesce(amount > 0 AND ratio IS NOT NULL AND NOT unknown > 0, false) AS u FROM f, m WHERE i BETWEEN m - 2 AND m),

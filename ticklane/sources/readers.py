@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticklane.functions import exprs as X
@@ -48,10 +48,12 @@ def open_days(rows: DataFrame) -> DataFrame:
     n, distinct, span, bad = days.agg(F.count("*"), F.countDistinct("day"), F.datediff(F.max("day"), F.min("day")) + 1, F.count_if(~F.coalesce(F.col("is_open").isin(0, 1), F.lit(False)))).first()
     if n != distinct or (n and n != span) or bad:
         raise ValueError(f"calendar: {n} rows, {distinct} days, {span} days from first to last, {bad} bad marks")
-    opened = days.where("is_open = 1").select("day")
-    from pyspark.sql import Window
+    return numbered_days(days.where("is_open = 1").select("day"))
 
-    return opened.withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)  # a calendar is some thousand rows
+
+def numbered_days(days: DataFrame) -> DataFrame:
+    """Distinct days numbered from 0; days of a market are some hundreds a year, so one task may order them."""
+    return days.distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
 
 
 def window_days(calendar: DataFrame, day: str, length: int) -> list:
