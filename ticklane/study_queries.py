@@ -13,12 +13,12 @@ from ticklane.sources import domain as D
 
 HORIZONS = [1, 2, 5]
 _HORIZONS = "(SELECT unnest([1, 2, 5]) AS horizon)"
-_BARS = f"""SELECT code, i, arg_min(price, (pid, trade_id)) AS o, max(price) AS h, min(price) AS l, arg_max(price, (pid, trade_id)) AS c, CASE WHEN code % 9 <> 4 THEN sum(qty) END AS volume
+_BARS = f"""SELECT code, i, arg_min(price, (pid, trade_id, price)) AS o, max(price) AS h, min(price) AS l, arg_max(price, (pid, trade_id, price)) AS c, CASE WHEN code % 9 <> 4 THEN sum(qty) END AS volume
  FROM ({D.DEALS}) WHERE price > 0 AND qty > 0 AND side <> 'C' GROUP BY code, i"""
 
 
 def _bars(spark: SparkSession, sf: str) -> DataFrame:
-    kept, at = D.deals(spark, sf).where(X.traded("price", "qty") & X.not_cancelled("side")), F.struct("pid", "trade_id")
+    kept, at = D.deals(spark, sf).where(X.traded("price", "qty") & X.not_cancelled("side")), F.struct("pid", "trade_id", "price")
     return kept.groupBy("code", "i").agg(F.min_by("price", at).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", at).alias("c"), F.when(F.col("code") % 9 != 4, F.sum("qty")).alias("volume"))
 
 
