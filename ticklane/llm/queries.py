@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklane.llm import chat, decontam, html_text, langid, licenses, lm, mixing, neardup, quality, toxicity
+from ticklane.llm import audit, chat, decontam, html_text, langid, licenses, lm, mixing, neardup, quality, spelling, tokens, toxicity
 from ticklane.llm.common import remainder, table
 
 
@@ -84,7 +84,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_html_extraction, op3_language_id, op4_mixing, op5_lm_scoring, op6_near_dedup, op7_quality_rules, op8_license_scan, op9_decontamination, op10_toxicity)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.document_failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.audit(rows, audit.FILTERS, ["good", "toxic"])
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_html_extraction, op3_language_id, op4_mixing, op5_lm_scoring, op6_near_dedup, op7_quality_rules, op8_license_scan,
+        op9_decontamination, op10_toxicity, op11_filter_audit, op12_token_counts, op13_spelling_variants,
+    )
+}
 
 _STUFF = r"""regexp_replace({0}, '([<\[])(=*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|eot_id\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1=\2\3', 'g')"""
 
@@ -157,4 +179,57 @@ hit_items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY ite
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)""",
+    # every order is walked over the failure patterns, step by step
+    "op11_filter_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM texts LEFT JOIN marks USING (doc_id)),
+patterns AS (SELECT part, fails, good, toxic, count(*) AS n, len(list_filter(fails, lambda f: f)) AS k FROM failing GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+walked AS (
+  SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, s AS step, o[s] AS f,
+    fails[o[s]] AS bad, len(list_filter(o[1:s - 1], lambda i: fails[i])) > 0 AS gone, k, n, good, toxic
+  FROM patterns, orders, range(1, 6) steps(s)),
+summed AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step, f, coalesce(sum(n) FILTER (NOT bad AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (bad AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (bad AND gone), 0) AS redundant, coalesce(sum(n) FILTER (bad AND k = 1), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (bad AND NOT gone AND good = 1), 0) AS good_lost, coalesce(sum(n) FILTER (bad AND NOT gone AND toxic = 1), 0) AS toxic_lost
+  FROM walked GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed""",
+    # crc32 by its table of 256 remainders; words and the pairs of near words as they are, by joins on what a wildcard or a deletion leaves
+    "op13_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h FROM coded, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+wild AS (SELECT word, n, i, substr(word, 1, i - 1) AS before, substr(word, i + 1) AS after FROM places),
+pairs AS (
+  SELECT a.word AS one, b.word AS other, b.n AS m FROM wild a JOIN wild b ON a.i = b.i AND a.before = b.before AND a.after = b.after AND a.word <> b.word
+  UNION SELECT w.word, v.word, v.n FROM wild w JOIN vocabulary v ON v.word = w.before || w.after
+  UNION SELECT v.word, w.word, w.n FROM wild w JOIN vocabulary v ON v.word = w.before || w.after),
+best AS (SELECT one, count(*) AS n_near, min(struct_pack(m := -m, w := other)) AS b FROM pairs GROUP BY one),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 10 * n THEN b.w END AS form, CASE WHEN -b.m >= 10 * n THEN -b.m END AS form_n FROM vocabulary LEFT JOIN best ON one = word),
+followed AS (
+  SELECT word, form AS last, 1 AS step FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT f.word, n.form, step + 1 FROM followed f JOIN formed n ON n.word = f.last WHERE n.form IS NOT NULL),
+ends AS (SELECT word, arg_max(last, step) AS root FROM followed GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM formed LEFT JOIN ends USING (word)""",
 }
