@@ -50,6 +50,26 @@ def test_chat_trees_and_round_trip(spark):
     assert chat.reply_paths(rows.limit(0)).count() == 0
 
 
+def test_near_dedup_when_the_largest_component_changes(spark):
+    """Components A (600), B and C (500 each) of one cluster; the first round's hubs link B with C, which is then the largest. A node of A and one
+    of C, neither of them a hub of that round, have equal sets and must still meet."""
+    n, name = 1600, lambda v: "A" if v < 600 else "B" if v < 1100 else "C"
+    turn = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.lit(n)
+    by_turn = {r.node: r.turn for r in spark.range(n).select(F.col("id").alias("node")).withColumn("turn", turn).collect()}
+    pick = lambda part, hub: next(v for v in sorted(by_turn) if name(v) == part and (by_turn[v] < neardup.FIRST_HUBS) == hub)
+    hub_b, some_c, late_a, late_c = pick("B", True), pick("C", True), min((v for v in by_turn if name(v) == "A"), key=by_turn.get), pick("C", False)
+    own = {v: [10 * v + k for k in range(5)] for v in range(n)}
+    own[some_c], own[late_c] = own[hub_b], own[late_a]
+    sets = spark.createDataFrame([(v, np.array(sorted(x), np.uint64).tobytes()) for v, x in own.items()], "node long, shingles binary")
+    start = {"A": 0, "B": 600, "C": 1100}
+    of = spark.createDataFrame([(v, start[name(v)]) for v in range(n)], "node long, component long")
+    clustered = spark.createDataFrame([(v, 0, 40, n, 40 * n) for v in range(n)], "node long, cluster long, size long, n long, bytes long")
+    join = lambda of, more: components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    assert by_turn[late_a] < neardup.FIRST_HUBS <= by_turn[late_c]
+    ended = neardup.linked_apart(clustered, of, sets, 80, join)
+    assert {r.component for r in ended.select("component").distinct().collect()} == {0}
+
+
 def test_chat_long_thread_and_null_id(spark):
     rows = spark.createDataFrame([(None, i, "user", str(i)) for i in range(37)], "conv_id long, turn long, role string, text string")
     messages = chat.as_chain(rows)

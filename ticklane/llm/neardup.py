@@ -9,8 +9,8 @@ everything else is linked on full sets only, equal sets too. Each node is first
 of its candidate groups of up to 64 nodes, and the least hub of its larger ones. Groups that have members in different
 components then are gathered to clusters, and nodes apart from their cluster's largest component are hubs themselves, in rounds of 512, 4096,
 ... for each cluster, by hash: blocks of hubs meet blocks of members inside tasks, on full sets of hashes, and of each hub one
-link to each other component leaves the task, to be confirmed on the texts. Two members of a group that end in different
-components have met, so no link that the bands find is lost (a pair at 0.8 shares one of the 32 bands of 5 with probability
+link to each other component leaves the task, to be confirmed on the texts. Of two members of a group that end in different
+components one is not in the largest and has been a hub, so they have met, and no link that the bands find is lost (a pair at 0.8 shares one of the 32 bands of 5 with probability
 1 - 3e-6). A cluster costs its size times the blocks of hubs it still needs, so large groups of near copies cost their size
 where most of them are linked by then; members that link with nothing must each meet all. The rows of one band or text are
 dealt over several tasks; other joins leave hot keys to Spark's own splitting.
@@ -253,14 +253,29 @@ def first_links(rows: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     return ones, others
 
 
-def apart(clustered: DataFrame, of: DataFrame, before: int) -> DataFrame:
+def apart(clustered: DataFrame, of: DataFrame, been: DataFrame | None) -> DataFrame:
     """Clusters (node, cluster, n, bytes) of several components, with each node's component, its turn (a hash below n)
-    and waiting: whether it is apart from the largest component and its turn is from ``before``."""
+    and waiting: whether it is apart from the largest component and not among ``been`` (node), which have been hubs."""
     now = clustered.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     turn = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
     sums = now.groupBy("cluster", "component").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    now = now.join(sums.select("cluster", "main"), "cluster").withColumn("turn", turn)
-    return checkpointed(now.withColumn("waiting", (F.col("component") != F.col("main")) & (F.col("turn") >= before)))
+    now = now.join(sums.select("cluster", "main"), "cluster").withColumn("turn", turn).withColumn("waiting", F.col("component") != F.col("main"))
+    if been is not None:
+        now = now.join(been.withColumn("met", F.lit(True)), "node", "left").withColumn("waiting", F.col("waiting") & F.col("met").isNull()).drop("met")
+    return checkpointed(now)
+
+
+def linked_apart(clustered: DataFrame, of: DataFrame, sets: DataFrame, percent: int, join) -> DataFrame:
+    """(node, component) after rounds of hubs: ``join`` adds links to components and gives the new ones. A node that has been a hub
+    has met all of its cluster, so it need not be one again, while a node that was in the largest component may still have to:
+    the largest one can change. The rounds end when every node has met all or is in the largest component."""
+    been, hubs = None, FIRST_HUBS
+    while not (now := apart(clustered, of, been)).where("waiting").isEmpty():
+        of = join(of, turns(now, sets, hubs, percent))
+        met = now.where(F.col("waiting") & (F.col("turn") < hubs)).select("node")
+        been = checkpointed(met if been is None else been.unionByName(met))
+        hubs *= MORE_HUBS
+    return of
 
 
 def turns(now: DataFrame, sets: DataFrame, hubs: int, percent: int) -> DataFrame:
@@ -313,10 +328,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, by_id:
         sets = checkpointed(shingled(nodes.select("node", "doc_id", "content").join(open_.select("node").distinct(), "node"), documents, k))
         sized = checkpointed(cluster.join(sets.select("node", F.octet_length("shingles").cast("long").alias("size")), "node"))
         clustered = sized.join(sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "cluster")
-        before, hubs = 0, FIRST_HUBS
-        while not (now := apart(clustered, of, before)).where("waiting").isEmpty():
-            of = join(of, check(turns(now, sets, hubs, percent)))
-            before, hubs = hubs, hubs * MORE_HUBS
+        of = linked_apart(clustered, of, sets, percent, lambda of, found: join(of, check(found)))
     whole = nodes.select("node", "doc_id").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = whole.drop("doc_id").join(whole.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").drop("component")
     ids = ids.join(nodes.select("node", "digest"), "node").drop("node")
