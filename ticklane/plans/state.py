@@ -16,6 +16,19 @@ def panel(facts: DataFrame) -> DataFrame:
     return grid(facts.select("code").distinct(), facts.select("i").distinct(), facts, ["code", "i"])
 
 
+def merged(flow: DataFrame, prices: DataFrame) -> DataFrame:
+    """Flow facts (code, i, amount, net, unknown, ratio) and closes (code, i, close) side by side, whichever of the two a code has in a
+    session, with ``evidence``: BOTH, FLOW or PRICE. Neither fills a gap of the other."""
+    rows = flow.select("code", "i", "amount", "net", "unknown", "ratio", F.lit(True).alias("in_flow")).join(prices.where("close IS NOT NULL").select("code", "i", "close"), ["code", "i"], "full_outer")
+    evidence = F.when(F.col("in_flow") & F.col("close").isNotNull(), "BOTH").when(F.col("in_flow"), "FLOW").otherwise("PRICE")
+    return rows.withColumn("evidence", evidence).drop("in_flow")
+
+
+def universe_panel(universe: DataFrame, sessions: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every code of the universe at every session, those without any fact too; codes outside it are left out."""
+    return grid(universe.select("code").distinct(), sessions.select("i").distinct(), facts, ["code", "i"])
+
+
 def states(dense: DataFrame, n: int = 5) -> DataFrame:
     """State of each code at each session over the window of the last n sessions (fewer at the calendar's start: status
     PARTIAL)."""

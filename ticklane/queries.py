@@ -71,7 +71,10 @@ def candidate_pools(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GRID = f"SELECT c.code, s.i, f.* EXCLUDE (code, i) FROM (SELECT DISTINCT code FROM ({D.FACTS})) c CROSS JOIN (SELECT DISTINCT i FROM ({D.FACTS})) s LEFT JOIN ({D.FACTS}) f USING (code, i)"
-STATES = f"""WITH g AS (SELECT *, ratio IS NOT NULL AND unknown = 0 AS u FROM ({_GRID})),
+
+
+def states_sql(grid: str) -> str:
+    return f"""WITH g AS (SELECT *, ratio IS NOT NULL AND unknown = 0 AS u FROM ({grid})),
 r AS (SELECT g.code, g.i, CASE WHEN coalesce(g.u, false) THEN g.ratio END AS level, g.net, g.amount, g.close FROM g),
 p AS (SELECT r.*, q.level AS before, q.amount AS amount_before FROM r LEFT JOIN r q ON q.code = r.code AND q.i = r.i - 1),
 b AS (SELECT *, CASE WHEN level IS NULL OR before IS NULL OR sign(level) <> sign(before) THEN i END AS turn, CASE WHEN coalesce(level > before, false) THEN NULL ELSE i END AS not_up, CASE WHEN coalesce(level < before, false) THEN NULL ELSE i END AS not_down FROM p),
@@ -92,6 +95,9 @@ SELECT w.code, w.i, CASE WHEN s.valid = 5 THEN 'AVAILABLE' ELSE 'PARTIAL' END AS
 FROM w JOIN spans s USING (code, i) LEFT JOIN prior USING (code, i) LEFT JOIN path USING (code, i) LEFT JOIN worst USING (code, i)"""
 
 
+STATES = states_sql(_GRID)
+
+
 @query(STATES)
 def continuous_state(spark: SparkSession, sf: str) -> DataFrame:
     return state.states(state.panel(D.facts(spark, sf)), 5)
