@@ -13,7 +13,7 @@ from ticklane.operators.timeline import drawdown, leave_one_out
 
 def adjusted_open(gate: Column, o: Column, c: Column, adjusted_close: Column) -> Column:
     """The open on the scale of the adjusted closes, where the gate lets it stand as a reference."""
-    return F.when((gate == "PRICE_REFERENCE_ONLY") & (adjusted_close > 0) & (c > 0), o * adjusted_close / c)
+    return F.when(gate.isin("ONE_PRICE_SESSION", "PRICE_REFERENCE_ONLY") & (adjusted_close > 0) & (c > 0), o * adjusted_close / c)
 
 
 def at_horizons(events: DataFrame, closes: DataFrame, horizons: list[int]) -> DataFrame:

@@ -26,7 +26,7 @@ _REFERENCES = f"""WITH e AS ({EVENTS}), f AS ({D.FACTS}), b AS ({_BARS}), m AS (
 g AS (SELECT e.code, e.i, kind, f.close AS now, CASE WHEN b.code IS NULL THEN 'MISSING_BAR' WHEN NOT coalesce(least(o, h, l, c) > 0, false) THEN 'MISSING_PRICE' WHEN l > least(o, c) OR h < greatest(o, c) THEN 'INVALID_OHLC' WHEN volume IS NULL THEN 'UNKNOWN_VOLUME'
   WHEN volume <= 0 THEN 'NO_VOLUME' WHEN h = l THEN 'ONE_PRICE_SESSION' ELSE 'PRICE_REFERENCE_ONLY' END AS gate, o * n.close / c AS adjusted
  FROM e LEFT JOIN f USING (code, i) LEFT JOIN b ON b.code = e.code AND b.i = e.i + 1 LEFT JOIN (SELECT code, i, close FROM f) n ON n.code = e.code AND n.i = e.i + 1),
-x AS (SELECT g.kind, horizon, g.i + horizon <= m AS mature, gate, now, CASE WHEN gate = 'PRICE_REFERENCE_ONLY' THEN adjusted END AS reference, t.close AS later FROM g CROSS JOIN {_HORIZONS} CROSS JOIN m LEFT JOIN (SELECT code, i, close FROM f) t ON t.code = g.code AND t.i = g.i + horizon),
+x AS (SELECT g.kind, horizon, g.i + horizon <= m AS mature, gate, now, CASE WHEN gate IN ('ONE_PRICE_SESSION', 'PRICE_REFERENCE_ONLY') THEN adjusted END AS reference, t.close AS later FROM g CROSS JOIN {_HORIZONS} CROSS JOIN m LEFT JOIN (SELECT code, i, close FROM f) t ON t.code = g.code AND t.i = g.i + horizon),
 y AS (SELECT *, CASE WHEN mature THEN 100 * (later / now - 1) END AS outcome, CASE WHEN mature THEN 100 * (reference / now - 1) END AS gap FROM x),
 z AS (SELECT *, CASE WHEN horizon >= 2 AND outcome IS NOT NULL THEN 100 * (later / reference - 1) END AS after FROM y)"""
 
