@@ -64,7 +64,8 @@ def displayed_recovery(book: DataFrame, key: list[str], time: str) -> DataFrame:
             F.when(closes, F.concat(acc["times"], F.array((x["t"] - acc["since"]).cast("long")))).otherwise(acc["times"]).alias("times"),
         )
 
-    folded = book.groupBy(*key).agg(rows.alias("rows")).withColumn("s", F.aggregate("rows", start, step))
+    # a generator, so that the fold is evaluated once for all of its fields
+    folded = book.groupBy(*key).agg(rows.alias("rows")).select(*key, F.explode(F.array(F.aggregate("rows", start, step))).alias("s"))
     times = F.array_sort("s.times")
     n = F.size(times)
     median = F.when(n > 0, (F.get(times, F.floor((n - 1) / 2).cast("int")) + F.get(times, F.floor(n / 2).cast("int"))) / 2)

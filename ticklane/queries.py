@@ -157,26 +157,26 @@ def change_counts(spark: SparkSession, sf: str) -> DataFrame:
     return state.change_counts(facts, latest(facts, 12))
 
 
-@query(f"""WITH s AS ({D.STREAM}) SELECT t.code, t.us, t.event_id, t.value, q.us AS right_time, q.value AS quote, coalesce(t.us - q.us <= 1800000000, false) AS fresh
-FROM (SELECT * FROM s WHERE kind <> 'quote') t ASOF LEFT JOIN (SELECT * FROM s WHERE kind = 'quote') q ON t.code = q.code AND t.us > q.us""")
+@query(f"""WITH s AS ({D.STREAM}) SELECT t.code, t.day, t.us, t.event_id, t.value, q.us AS right_time, q.value AS quote, coalesce(t.us - q.us <= 1800000000, false) AS fresh
+FROM (SELECT * FROM s WHERE kind <> 'quote') t ASOF LEFT JOIN (SELECT * FROM s WHERE kind = 'quote') q ON t.code = q.code AND t.day = q.day AND t.us > q.us""")
 def asof_quotes(spark: SparkSession, sf: str) -> DataFrame:
     s = D.stream(spark, sf)
-    quotes = s.where("kind = 'quote'").select("code", "us", F.col("value").alias("quote"))
-    return micro.quotes_at_trades(s.where("kind <> 'quote'").select("code", "us", "event_id", "value"), quotes, ["code"], "us", 1_800_000_000)
+    quotes = s.where("kind = 'quote'").select("code", "day", "us", F.col("value").alias("quote"))
+    return micro.quotes_at_trades(s.where("kind <> 'quote'").select("code", "day", "us", "event_id", "value"), quotes, ["code", "day"], "us", 1_800_000_000)
 
 
-@query(f"""WITH s AS ({D.STREAM}), q AS (SELECT code, us, value AS mid, lead(us) OVER w AS nu, lead(value) OVER w AS nm FROM s WHERE kind = 'quote' WINDOW w AS (PARTITION BY code ORDER BY us)),
-x AS (SELECT q.code, q.us, any_value(nu) - q.us AS gap, any_value(mid) AS mid, any_value(nm) AS nm, coalesce(sum(CASE t.kind WHEN 'B' THEN t.value WHEN 'S' THEN -t.value ELSE 0.0 END), 0) AS f,
+@query(f"""WITH s AS ({D.STREAM}), q AS (SELECT code, day, us, value AS mid, lead(us) OVER w AS nu, lead(value) OVER w AS nm FROM s WHERE kind = 'quote' WINDOW w AS (PARTITION BY code, day ORDER BY us)),
+x AS (SELECT q.code, q.day, q.us, any_value(nu) - q.us AS gap, any_value(mid) AS mid, any_value(nm) AS nm, coalesce(sum(CASE t.kind WHEN 'B' THEN t.value WHEN 'S' THEN -t.value ELSE 0.0 END), 0) AS f,
   coalesce(sum(CASE WHEN t.kind = '?' THEN t.value ELSE 0.0 END), 0) AS un, coalesce(sum(t.value), 0) AS tr
-  FROM q LEFT JOIN (SELECT * FROM s WHERE kind <> 'quote') t ON t.code = q.code AND t.us > q.us AND t.us < q.nu WHERE nu IS NOT NULL GROUP BY q.code, q.us),
+  FROM q LEFT JOIN (SELECT * FROM s WHERE kind <> 'quote') t ON t.code = q.code AND t.day = q.day AND t.us > q.us AND t.us < q.nu WHERE nu IS NOT NULL GROUP BY q.code, q.day, q.us),
 z AS (SELECT *, CASE WHEN gap > 14400000000 THEN 'gap' WHEN un > 1e-7 THEN 'unknown' WHEN abs(f) <= greatest(1e-7, tr * 1e-10) THEN 'zero' ELSE 'flow' END AS st FROM x),
 a AS (SELECT *, CASE WHEN st = 'flow' THEN sign(f) * 10000 * (nm / mid - 1) END AS al FROM z)
-SELECT code, count(*) AS pairs, count(*) FILTER (st = 'gap') AS gap_pairs, count(*) FILTER (st = 'unknown') AS unknown_pairs, count(*) FILTER (st = 'zero') AS zero_pairs, count(*) FILTER (st = 'flow') AS flow_pairs,
- {R("median(al)")} AS median_bps, {R("avg(al)", 2)} AS mean_bps, {R("100 * avg(CASE WHEN al > 0 THEN 1.0 WHEN al IS NOT NULL THEN 0.0 END)")} AS positive_share FROM a GROUP BY code""")
+SELECT code, day, count(*) AS pairs, count(*) FILTER (st = 'gap') AS gap_pairs, count(*) FILTER (st = 'unknown') AS unknown_pairs, count(*) FILTER (st = 'zero') AS zero_pairs, count(*) FILTER (st = 'flow') AS flow_pairs,
+ {R("median(al)")} AS median_bps, {R("avg(al)", 2)} AS mean_bps, {R("100 * avg(CASE WHEN al > 0 THEN 1.0 WHEN al IS NOT NULL THEN 0.0 END)")} AS positive_share FROM a GROUP BY code, day""")
 def price_response(spark: SparkSession, sf: str) -> DataFrame:
     s = D.stream(spark, sf)
-    quotes = s.where("kind = 'quote'").select("code", "us", F.col("value").alias("quote"))
-    return rounded(micro.response(s.where("kind <> 'quote'"), quotes, ["code"], "us", 14_400_000_000), median_bps=4, mean_bps=2, positive_share=4)
+    quotes = s.where("kind = 'quote'").select("code", "day", "us", F.col("value").alias("quote"))
+    return rounded(micro.response(s.where("kind <> 'quote'"), quotes, ["code", "day"], "us", 14_400_000_000), median_bps=4, mean_bps=2, positive_share=4)
 
 
 @query(f"""WITH q AS (SELECT * FROM ({D.STREAM}) WHERE kind = 'quote')
@@ -187,7 +187,23 @@ def quote_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(micro.quote_summary(q, ["code", "hour"], "us"), change=4, recovery=4)
 
 
-@query()
+def recovery_sql(rows: str, key: str) -> str:
+    """The fold over each key's rows (n from 1, ms, price, qty), one after another."""
+    ok, same = "coalesce(x.price > 0 AND x.qty > 0, false)", "coalesce(x.price > 0 AND x.qty > 0 AND x.price = f.price, false)"
+    on = " AND ".join(f"x.{k} = f.{k}" for k in key.split(", "))
+    opens, closes = f"({same} AND f.target IS NULL AND x.qty < f.qty)", f"({same} AND f.target IS NOT NULL AND x.qty >= f.target)"
+    lost = f"(NOT {same} AND f.target IS NOT NULL)"
+    return f"""f AS (SELECT {key}, 1 AS n, CASE WHEN price > 0 AND qty > 0 THEN price END AS price, CASE WHEN price > 0 AND qty > 0 THEN qty END AS qty, CAST(NULL AS DOUBLE) AS target, CAST(NULL AS BIGINT) AS since, 0 AS pairs, 0 AS declines, 0 AS recovered, 0 AS lost, CAST(NULL AS BIGINT) AS took FROM ({rows}) WHERE n = 1
+  UNION ALL SELECT {", ".join(f"x.{k}" for k in key.split(", "))}, x.n, CASE WHEN {ok} THEN x.price END, CASE WHEN {ok} THEN x.qty END, CASE WHEN {opens} THEN f.qty WHEN {closes} OR {lost} THEN NULL ELSE f.target END, CASE WHEN {opens} THEN x.ms WHEN {closes} OR {lost} THEN NULL ELSE f.since END,
+   CAST({same} AS INT), CAST({opens} AS INT), CAST({closes} AS INT), CAST({lost} AS INT), CASE WHEN {closes} THEN x.ms - f.since END FROM f JOIN ({rows}) x ON {on} AND x.n = f.n + 1),
+folded AS (SELECT {key}, CAST(sum(pairs) AS INT) AS pairs, CAST(sum(declines) AS INT) AS declines, CAST(sum(recovered) AS INT) AS recovered, CAST(sum(lost) + max(CASE WHEN target IS NOT NULL AND last THEN 1 ELSE 0 END) AS INT) AS censored, median(took) AS median_time
+ FROM (SELECT *, n = max(n) OVER (PARTITION BY {key}) AS last FROM f) GROUP BY ALL)"""
+
+
+_BOOK = f"""SELECT code, day, us AS ms, floor(value / 100) + 1 AS price, value AS qty, row_number() OVER (PARTITION BY code, day ORDER BY us, floor(value / 100) + 1, value) AS n FROM ({D.STREAM})"""
+
+
+@query(f"WITH RECURSIVE rows AS MATERIALIZED ({_BOOK}), {recovery_sql('SELECT * FROM rows', 'code, day')} SELECT code, day, pairs, declines, recovered, censored, median_time FROM folded")
 def displayed_recovery(spark: SparkSession, sf: str) -> DataFrame:
     q = D.stream(spark, sf).select("code", "us", F.expr("us div 86400000000").alias("day"), (F.floor(F.col("value") / 100) + 1).cast("double").alias("price"), F.col("value").alias("qty"))
     return micro.displayed_recovery(q, ["code", "day"], "us")

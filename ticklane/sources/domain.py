@@ -69,14 +69,16 @@ BARS = """SELECT o_custkey % 20 AS code, CAST(year(o_orderdate) * 12 + month(o_o
  CAST(count(*) AS DOUBLE) AS volume, sum(o_totalprice) AS amount FROM orders GROUP BY ALL"""
 
 
-def stream(spark: SparkSession, sf_dir: str, codes: int = 10) -> DataFrame:
-    """Intraday rows: code, us (microseconds since 1970), kind (quote, B, S or ?), value, event_id."""
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intraday rows: code (15 users each, so that codes grow with the data), day (days since 1970), us (microseconds since 1970),
+    kind (quote, B, S or ?), value, event_id."""
     kind = F.when(F.col("event_type") == "view", "quote").when(F.col("event_type") == "purchase", "B").when(F.col("event_type") == "signup", "S").otherwise("?")
     x = table(spark, sf_dir, "events")
-    return x.select((F.col("user_id") % codes).alias("code"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), kind.alias("kind"), "value", "event_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return x.select(F.expr("user_id div 15").alias("code"), F.expr("unix_micros(CAST(ts AS timestamp)) div 86400000000").alias("day"), us.alias("us"), kind.alias("kind"), "value", "event_id")
 
 
-STREAM = "SELECT user_id % 10 AS code, epoch_us(ts) AS us, CASE event_type WHEN 'view' THEN 'quote' WHEN 'purchase' THEN 'B' WHEN 'signup' THEN 'S' ELSE '?' END AS kind, value, event_id FROM events"
+STREAM = "SELECT user_id // 15 AS code, epoch_us(ts) // 86400000000 AS day, epoch_us(ts) AS us, CASE event_type WHEN 'view' THEN 'quote' WHEN 'purchase' THEN 'B' WHEN 'signup' THEN 'S' ELSE '?' END AS kind, value, event_id FROM events"
 
 
 #: Clock of an event's day, laid over the session: 24 hours become 09:00 to 14:59, in whole minutes.
@@ -120,3 +122,32 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRINTS = f"""SELECT user_id AS code, i, CASE WHEN event_id % 499 = 0 THEN 'other' ELSE CAST(i AS VARCHAR) END AS trade_day, CASE WHEN event_id % 101 = 0 THEN 126000000 ELSE clock END AS t, value AS price, CAST(event_id % 50 + 1 AS DOUBLE) AS qty,
  value * CAST(event_id % 50 + 1 AS DOUBLE) AS amount, CASE WHEN event_id % 37 = 0 THEN 'C' WHEN event_id % 41 = 0 THEN '?' WHEN event_type = 'purchase' THEN 'B' ELSE 'S' END AS side, event_id % 7 * 3 AS pid
  FROM (SELECT *, CAST(dayofyear(ts) // 7 AS BIGINT) AS i, {_CLOCK_SQL} AS clock FROM events WHERE event_type IN ('purchase', 'signup'))"""
+
+
+#: Clock of an event's day in milliseconds, its 24 hours laid over 09:30 to 15:00.
+_MS = "34200000 + CAST(hour(ts) * 3600000 + minute(ts) * 60000 + floor(second(ts)) * 1000 AS bigint) * 11 div 48"
+_MS_SQL = "34200000 + (hour(ts) * 3600000 + minute(ts) * 60000 + second(ts) * 1000) * 11 // 48"
+
+
+def _hhmmss(ms: str, div: str) -> str:
+    return f"CAST({ms} {div} 3600000 * 10000000 + {ms} {div} 60000 % 60 * 100000 + {ms} % 60000 AS bigint)"
+
+
+def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes and trades of a code's days, with what a feed gets wrong now and then: code, day, e (event), kind (quote or trade),
+    trade_day, t (HHMMSSmmm), bid and ask (ten-thousandths), their sizes, price, qty and side."""
+    x = table(spark, sf_dir, "events").select(F.expr("user_id div 15").alias("code"), F.expr("unix_micros(CAST(ts AS timestamp)) div 86400000000").alias("day"), F.col("event_id").alias("e"), F.expr(_MS).alias("ms"), "event_type", "value")
+    quote, e, clock = F.col("event_type").isin("view", "click"), F.col("e"), F.expr(_hhmmss("ms", "div"))
+    t = F.when(quote, F.when(e % 887 == 0, 100061000).when(e % 1103 == 0, None).when((F.col("code") + F.col("day")) % 37 == 5, clock - clock % 10000000).otherwise(clock)).otherwise(F.when(e % 1499 == 0, 126000000).otherwise(clock))
+    bid = 10000 + e % 4 * 10
+    side = F.when(F.col("event_type") == "purchase", "B").when(F.col("event_type") == "signup", "S").when(e % 3 == 0, "B")
+    return x.select(
+        "code", "day", "e", F.when(quote, "quote").otherwise("trade").alias("kind"), F.when(e % 997 == 0, "other").otherwise(F.col("day").cast("string")).alias("trade_day"), t.cast("long").alias("t"), bid.cast("double").alias("bid"), (bid + e % 6 - F.when(e % 13 == 0, 9).otherwise(0)).cast("double").alias("ask"),
+        F.when(e % 31 != 0, (e * 7 % 5 * 100).cast("double")).alias("bid_qty"), (e * 3 % 4 * 100 + 50).cast("double").alias("ask_qty"), F.col("value").alias("price"), F.when(e % 1201 == 0, 0.0).otherwise(e % 50 + 1.0).alias("qty"), side.alias("side"))
+
+
+TAPE = f"""SELECT code, day, e, CASE WHEN q THEN 'quote' ELSE 'trade' END AS kind, CASE WHEN e % 997 = 0 THEN 'other' ELSE CAST(day AS VARCHAR) END AS trade_day,
+ CASE WHEN q THEN CASE WHEN e % 887 = 0 THEN 100061000 WHEN e % 1103 = 0 THEN NULL WHEN (code + day) % 37 = 5 THEN clock - clock % 10000000 ELSE clock END WHEN e % 1499 = 0 THEN 126000000 ELSE clock END AS t,
+ CAST(10000 + e % 4 * 10 AS DOUBLE) AS bid, CAST(10000 + e % 4 * 10 + e % 6 - CASE WHEN e % 13 = 0 THEN 9 ELSE 0 END AS DOUBLE) AS ask, CASE WHEN e % 31 <> 0 THEN CAST(e * 7 % 5 * 100 AS DOUBLE) END AS bid_qty, CAST(e * 3 % 4 * 100 + 50 AS DOUBLE) AS ask_qty,
+ value AS price, CASE WHEN e % 1201 = 0 THEN 0.0 ELSE e % 50 + 1.0 END AS qty, CASE event_type WHEN 'purchase' THEN 'B' WHEN 'signup' THEN 'S' ELSE CASE WHEN e % 3 = 0 THEN 'B' END END AS side
+ FROM (SELECT *, {_hhmmss("ms", "//")} AS clock FROM (SELECT user_id // 15 AS code, epoch_us(ts) // 86400000000 AS day, event_id AS e, {_MS_SQL} AS ms, event_type, event_type IN ('view', 'click') AS q, value FROM events))"""
