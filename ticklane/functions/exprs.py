@@ -181,8 +181,8 @@ def ladder_imbalance(bid_px, ask_px, bid_qty, ask_qty, weighted: bool = False) -
 
 
 def content_id(record) -> Column:
-    """sha256 of a record's JSON: a struct's fields in their order, without spaces."""
-    return F.sha2(F.to_json(col(record)), 256)
+    """sha256 of a record's JSON: a struct's fields in their order, without spaces, nulls as null."""
+    return F.sha2(F.to_json(col(record), {"ignoreNullFields": "false"}), 256)
 
 
 def event_id(*parts: str) -> Column:
