@@ -106,8 +106,3 @@ def source_strata(days: DataFrame, sources: DataFrame) -> DataFrame:
     pair = F.concat_ws(" > ", F.coalesce("source_prev", F.lit("unknown")), F.coalesce("source", F.lit("unknown")))
     seen = F.col("excess").isNotNull()
     return rows.groupBy(pair.alias("pair")).agg(F.count("*").alias("trigger_days"), F.count("excess").alias("comparable_days"), F.coalesce(F.sum(F.when(seen, F.col("observed"))), F.lit(0)).alias("comparable_events"), F.avg("excess").alias("mean_excess"))
-
-
-def file_times(rows: DataFrame) -> DataFrame:
-    """Files behind a table with their times of change: an audit of what stood when, not a proof of what was known then."""
-    return rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_size").alias("size")).groupBy("file").agg(F.max("changed").alias("changed"), F.max("size").alias("size"), F.count("*").alias("rows"))
