@@ -43,11 +43,13 @@ def open_references(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH e AS ({EVENTS}), f AS ({D.FACTS}), s AS (SELECT e.code, e.i, kind, horizon, k, f.close AS v FROM e CROSS JOIN {_HORIZONS} CROSS JOIN (SELECT unnest(range(6)) AS k) LEFT JOIN f ON f.code = e.code AND f.i = e.i + k WHERE k <= horizon),
 p AS (SELECT *, max(v) OVER (PARTITION BY code, i, kind, horizon ORDER BY k) AS top FROM s), d AS (SELECT *, 100 * (v / top - 1) AS fall FROM p),
-g AS (SELECT code, i, kind, horizon, CASE WHEN count(v) = count(*) THEN min(fall) END AS dd FROM d GROUP BY ALL), t AS (SELECT g.*, (SELECT min(i + k) FROM d WHERE d.code = g.code AND d.i = g.i AND d.kind = g.kind AND d.horizon = g.horizon AND d.fall = g.dd AND g.dd < 0) AS trough_i FROM g)
-SELECT code, i, kind, horizon, {R("dd")} AS drawdown, trough_i FROM t""")
+g AS (SELECT code, i, kind, horizon, CASE WHEN count(v) = count(*) THEN min(fall) END AS dd FROM d GROUP BY ALL), t AS (SELECT g.*, (SELECT min(i + k) FROM d WHERE d.code = g.code AND d.i = g.i AND d.kind = g.kind AND d.horizon = g.horizon AND d.fall = g.dd AND g.dd < 0) AS trough_i FROM g),
+b AS (SELECT d.code, d.i, d.kind, d.horizon, top FROM d JOIN t ON t.code = d.code AND t.i = d.i AND t.kind = d.kind AND t.horizon = d.horizon AND d.i + k = trough_i),
+h AS (SELECT d.code, d.i, d.kind, d.horizon, min(d.i + k) AS peak_i FROM d JOIN b ON b.code = d.code AND b.i = d.i AND b.kind = d.kind AND b.horizon = d.horizon AND d.v = b.top GROUP BY ALL)
+SELECT code, i, kind, horizon, {R("dd")} AS drawdown, peak_i, trough_i FROM t LEFT JOIN h USING (code, i, kind, horizon)""")
 def close_paths(spark: SparkSession, sf: str) -> DataFrame:
     facts = D.facts(spark, sf)
-    return rounded(contrasts.close_paths(state.flow_events(facts), facts, HORIZONS).drop("peak_i"), drawdown=4)
+    return rounded(contrasts.close_paths(state.flow_events(facts), facts, HORIZONS), drawdown=4)
 
 
 @query(_CELLS + f""", d AS (SELECT market, i, avg(x) FILTER (stock = 'improving') - avg(x) FILTER (stock = 'weakening') AS s FROM c GROUP BY ALL)
