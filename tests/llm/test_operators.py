@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import same
-from ticklane.llm import chat, decontam, html_text, langid, licenses, lm, mixing, neardup, quality, spans, toxicity
+from ticklane.llm import chat, common, decontam, html_text, langid, licenses, lm, mixing, neardup, quality, spans, toxicity
 from ticklane.llm.common import fitting_texts, table
 from ticklane.llm.components import components
 from ticklane.llm.phrases import places
@@ -129,6 +129,80 @@ def test_html_hidden_forms_and_comments():
     assert html_text.main_text("<body><nav><a href=x>only</a> <a href=y>links</a></nav></body>") == "" and html_text.main_text("<article>x</article><nav><a>y</a></nav>") == "x"
 
 
+REPLY = "<cite><a href=u>{0}</a></cite> <time>today</time><p>I agree with {0}, and {1}</p>"
+REPLIES = [REPLY.format(name, LINE) for name in ("Ann", "Bo", "Cy")]
+
+
+@pytest.mark.parametrize("extra", [
+    "<ol class='commentlist'><li>me too</li></ol>", "<div id='respond'><h3>Leave a reply</h3><form><label>Name</label></form></div>", "<div class='legal-notice'>All rights reserved</div>",
+    "<div class='share-buttons'><a href=x>Tweet</a> <a href=y>Share</a></div>", "<div style='display:none'>secret</div>", "<p style='color:red; Visibility : hidden !important'>secret</p>",
+    "<h3>3 replies</h3><ul class=x>" + "".join(f"<li>{r}</li>" for r in REPLIES) + "</ul>", "<section><h2>What others say</h2>" + "".join(f"<div>{r}</div>" for r in REPLIES) + "</section>",
+    "<div>" + "".join(f"<article><span class=author>{n}</span><div>{LINE}</div></article>" for n in "abc") + "</div>",
+])
+def test_html_what_an_article_may_hold_besides(extra):
+    assert html_text.main_text(f"<body><article>{BODY}{extra}</article></body>").split("\n\n") == PLAIN
+    assert html_text.main_text(f"<body><article>{BODY}{extra}<p>the end of it</p></article></body>").split("\n\n") == [*PLAIN, "the end of it"]
+
+
+@pytest.mark.parametrize("kept, texts", [
+    ("<ul><li><time>1990</time><p>founded</p></li><li><time>1995</time><p>sold</p></li></ul>", ["1990", "founded", "1995", "sold"]),
+    ("<div><blockquote>to be <cite>W. S.</cite></blockquote><blockquote>or not <cite>W. S.</cite></blockquote></div>", ["to be W. S.", "or not W. S."]),
+    ("<div><div><cite>Ann</cite><h3>Part one</h3><p>of hers</p></div><div><cite>Bo</cite><h3>Part two</h3><p>of his</p></div></div>", ["Ann", "Part one", "of hers", "Bo", "Part two", "of his"]),
+    ("<ul><li><cite>One book</cite> by one</li></ul>", ["One book by one"]), ("<p style='display:block;border:none'>shown</p>", ["shown"]),
+])
+def test_html_shapes_that_are_no_comments(kept, texts):
+    assert html_text.main_text(f"<body><article>{BODY}{kept}</article></body>").split("\n\n") == [*PLAIN, *texts]
+    alone = "".join(f"<div>{r}</div>" for r in REPLIES)
+    assert "I agree with Bo" in html_text.main_text(f"<body><div>{alone}</div></body>")
+
+
+@pytest.mark.parametrize("html, expected", [
+    (f"<html><head><title>t</title><meta charset=utf-8>{BODY}", PLAIN), (f"<head><title>t</title><div>{BODY}</div></body></html>", PLAIN), (f"<head>first {LINE}<p>second {LINE}", [f"first {LINE}".strip(), f"second {LINE}".strip()]),
+    (f"<p>before {LINE}</p><body class=x>{BODY}", [f"before {LINE}".strip(), *PLAIN]), (f"<head><style>p{{}}</style></head><p>before {LINE}</p></body>{BODY}</html><p>after {LINE}", [f"before {LINE}".strip(), *PLAIN, f"after {LINE}".strip()]),
+    (f"<body>{BODY}<head><p>late {LINE}</p></head></body>", [*PLAIN, f"late {LINE}".strip()]),
+])
+def test_html_head_and_body_tags_left_out(html, expected):
+    assert html_text.main_text(html).split("\n\n") == expected
+
+
+def test_html_density_against_a_recursive_version(spark):
+    """Densities, sums and the chosen node of every page, from their definition, by recursion."""
+
+    def count(node):
+        chars = tags = link_chars = link_tags = 0
+        for c in node.children:
+            if isinstance(c, str):
+                chars += len(" ".join(c.split()))
+            else:
+                below = count(c)
+                link = c.tag == "a" or c.marked
+                chars, tags, link_chars, link_tags = chars + below[0], tags + 1 + below[1], link_chars + below[2], link_tags + link + below[3]
+        return (chars, tags, chars, tags) if node.tag == "a" or node.marked else (chars, tags, link_chars, link_tags)
+
+    def density(node):
+        chars, tags, link_chars, link_tags = count(node)
+        ratio = (chars + 1) / (link_chars + 1) * (tags + 1) / (link_tags + 1)
+        return chars / max(1, tags) * math.log(ratio, (chars + 1) * (tags + 1)) if chars else 0.0
+
+    def total(node):
+        return sum(density(c) for c in node.children if not isinstance(c, str)) or density(node)
+
+    pages = [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").where("html IS NOT NULL").orderBy("page_id").limit(200).collect()]
+    assert len(pages) == 200
+    for page in pages:
+        builder = html_text.TreeBuilder()
+        builder.feed(page)
+        body = builder.body
+        body.parent = None
+        html_text.settle_marks(body)
+        html_text.mark_replies(body)
+        order = html_text.measure(body)
+        html_text.densities(order)
+        assert all(math.isclose(n.density, density(n), abs_tol=1e-9) and math.isclose(n.total, total(n), abs_tol=1e-9) for n in order)
+        best = max(order, key=total)
+        assert best is max(order, key=lambda n: n.total) or math.isclose(total(best), max(n.total for n in order))
+
+
 def test_html_density_decides(spark, monkeypatch):
     """Without densities, pages keep what the density leaves out."""
     pages = [r.html for r in table(spark, SF, "pages").collect()]
@@ -191,6 +265,16 @@ def test_language_held_out_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_language_sample_with_rates_broadcast_or_shuffled(spark, monkeypatch):
+    """Both ways choose the same rows, rows of ``last`` among them."""
+    rows = [(i, None if i % 11 == 0 else f"l{i % 3}", "long " * 40 if i % 3 == 2 or i % 7 == 0 else "short") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    draw = lambda: sorted((r.doc_id, r.lang, r.text) for r in common.fitting_sample(docs, "lang", 50, last=F.length("text") > 100).collect())
+    few = draw()
+    monkeypatch.setattr(common, "BROADCAST_RATES", -1)
+    assert few == draw() and {r[1] for r in few} == {"l0", "l1", "l2"} and any("long" in r[2] for r in few)
+
+
 def test_language_of_long_texts_only(spark):
     rows = [(i, "de", "der lange text mit vielen worten " * 4) for i in range(40)] + [(100 + i, "xx", "zogu wabi muke tolo " * 8) for i in range(40)]
     rows += [(200 + i, "yy", None if i else "quaru pliko senna drovi " * 8) for i in range(40)] + [(300 + i, "de", "zogu wabi " * 50) for i in range(200)]

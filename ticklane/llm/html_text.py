@@ -5,6 +5,12 @@ as text (scripts, styles, hidden elements ...) is cut. Every other node gets a d
 many of its characters and tags are links. Marked blocks (nav, aside, footer, forms, page headers, and
 those whose class or id says advert, sidebar, comments and the like, and nothing else) count as links, so that their density
 is 0; a block that holds an article or main, or, having blocks in it, most of the body's other characters, is not marked.
+Reader comments are known by their shape, whatever they are called: two or more elements of one kind beside each other, without
+headings, that each begin with a person's name (cite, address, or an element said to be an author) and go on with other text,
+and that hold all the text of the element around them but its headings. They are marked if other text is left.
+
+A head ends where something stands that can't be in one, and a body begins where it does, so no block moves or is lost for tags
+that authors left out. Blocks with display:none or visibility:hidden are hidden with all in them.
 
 A node's density sum is the sum over its children. The node with the largest sum is the main subtree; the threshold is the
 least density on its path to the body, and each other branch at or above the threshold, on any level, gives the subtree of
@@ -33,6 +39,8 @@ from ticklane.llm.common import map_texts
 #: HTML element names by what becomes of them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = set("script style noscript template iframe object svg canvas math head title button select textarea input audio video map".split())
+#: Elements that a head may hold; any other one ends it.
+METADATA = set("base link meta noscript script style template title".split())
 #: Elements that are not the article, and those of them that can't hold most of it.
 ASIDE = set("nav footer aside header menu dialog form".split())
 NEVER_MOST = ASIDE - {"form"}
@@ -43,19 +51,22 @@ BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 P_BARRIER = {"td", "th", "caption", "table", "html", "body", "button", "object"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class and id values that mark what is not the article, and words that may stand beside them.
-UNWANTED = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login comment comments disqus footer masthead header topbar toolbar pagination pager".split())
-NEUTRAL = set("site page global main top bottom left right first last primary secondary sticky fixed inline inner outer box block area section container wrapper wrap list item items row col column slot unit widget bar panel form link links user reader post thread js".split()) | set("abcdefghijklmnopqrstuvwxyz")
+UNWANTED = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login comment comments respond disqus share sharing social footer masthead header topbar toolbar pagination pager".split())
+NEUTRAL = set("site page global main top bottom left right first last primary secondary sticky fixed inline inner outer box block area section container wrapper wrap list item items row col column slot unit widget bar panel form link links user reader post thread js legal privacy buttons button icons media".split()) | set("abcdefghijklmnopqrstuvwxyz")
 UNWANTED_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alert", "menu", "menubar"}
+#: Words of class, id, itemprop and rel values that say that an element names a person.
+PERSON = set("author commenter commentator username vcard fn".split())
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 WORD = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "cut", "marked", "inside")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "cut", "marked", "inside", "person")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.cut, self.marked = tag, parent, [], False, False
+        self.tag, self.parent, self.children, self.cut, self.marked, self.person = tag, parent, [], False, False, False
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -74,8 +85,10 @@ class TreeBuilder(HTMLParser):
         self.blocks = [0]
 
     def handle_starttag(self, tag, attrs):
-        if tag == "html" or (tag == "body" and self.body is not None):
+        if tag == "html" or (tag == "body" and self.body is not None) or (tag == "head" and len(self.open) > 1):
             return
+        if tag not in METADATA and tag != "head":
+            self._begin_body(tag)
         if tag in BLOCKS:
             self._close({"p"}, P_BARRIER)
         if tag in CLOSES:
@@ -89,6 +102,7 @@ class TreeBuilder(HTMLParser):
         node = Node(tag, self.open[-1])
         node.cut = tag in NEVER or hidden(tag, attrs)
         node.marked = (tag in ASIDE and not (tag == "header" and node.inside)) or unwanted(tag, attrs, node.inside)
+        node.person = names_person(tag, attrs)
         self.open[-1].children.append(node)
         if tag == "body":
             self.body = node
@@ -109,8 +123,17 @@ class TreeBuilder(HTMLParser):
             self._pop(at)
 
     def handle_data(self, data):
+        if self.body is None and data.strip():
+            self._begin_body("")
         self.open[-1].children.append(data)
 
+    def _begin_body(self, tag: str) -> None:
+        """What stands in the head or before any body, and belongs in neither, ends the one and begins the other."""
+        if self.body is None and self.open[-1].tag in ("head", "html"):
+            self._pop(1)
+            if tag != "body":
+                self.handle_starttag("body", [])
+
     def _last(self, tag: str) -> int:
         places = self.places.get(tag)
         return places[-1] if places else -1
@@ -130,7 +153,21 @@ class TreeBuilder(HTMLParser):
 
 
 def hidden(tag: str, attrs) -> bool:
-    return tag not in ("html", "body") and any(name == "hidden" or (name == "aria-hidden" and (value or "").lower() == "true") for name, value in attrs)
+    return tag not in ("html", "body") and any(
+        name == "hidden" or (name == "aria-hidden" and (value or "").lower() == "true") or (name == "style" and HIDING.search(value or "") is not None) for name, value in attrs)
+
+
+def words_of(value: str) -> set[str]:
+    return {w.lower() for part in WORD.findall(value) for w in CAMEL.split(part)}
+
+
+def compound(word: str) -> bool:
+    """Two words written as one, such as commentlist: one for what is not the article and one that may stand beside it."""
+    return any(word[:i] in UNWANTED and word[i:] in UNWANTED | NEUTRAL for i in range(2, len(word) - 2))
+
+
+def names_person(tag: str, attrs) -> bool:
+    return tag in ("cite", "address") or any(name in ("class", "rel", "itemprop") and value and not PERSON.isdisjoint(words_of(value)) for name, value in attrs)
 
 
 def unwanted(tag: str, attrs, inside: bool) -> bool:
@@ -142,9 +179,10 @@ def unwanted(tag: str, attrs, inside: bool) -> bool:
             return True
         if name in ("class", "id") and value:
             for token in value.split():
-                found = {w.lower() for part in WORD.findall(token) for w in CAMEL.split(part)}
-                named = found & UNWANTED - ({"header"} if inside else set())
-                if named and found <= UNWANTED | NEUTRAL:
+                found = words_of(token)
+                joined = {w for w in found if compound(w)}
+                named = (found & UNWANTED) - ({"header"} if inside else set())
+                if (named or joined) and found - joined <= UNWANTED | NEUTRAL:
                     return True
     return False
 
@@ -179,6 +217,53 @@ def settle_marks(body: Node) -> None:
             node.marked = id(node) not in holds and not most
 
 
+def mark_replies(body: Node) -> None:
+    """Mark reader comments by their shape, with a heading right before them."""
+    order, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if not isinstance(c, str) and not c.cut)
+    chars: dict[int, int] = {}
+    named: dict[int, int] = {}  # characters of the name that a node's text begins with
+    titles: dict[int, int] = {}  # characters in headings
+    groups = []
+    for node in reversed(order):
+        shown = [c for c in node.children if isinstance(c, str) or not c.cut]
+        n = sum(size(c) if isinstance(c, str) else chars[id(c)] for c in shown)
+        below = [c for c in shown if not isinstance(c, str)]
+        first = next((c for c in shown if (size(c) if isinstance(c, str) else chars[id(c)])), None)
+        chars[id(node)] = n
+        named[id(node)] = n if node.person else 0 if first is None or isinstance(first, str) else named[id(first)]
+        titles[id(node)] = n if node.tag in HEADINGS else sum(titles[id(c)] for c in below)
+        items = [c for c in below if 0 < named[id(c)] < chars[id(c)] and not titles[id(c)]]
+        if len(items) > 1 and len({c.tag for c in items}) == 1 and sum(chars[id(c)] for c in items) == n - sum(chars[id(c)] for c in below if c.tag in HEADINGS):
+            groups.append(node)
+    alike, found, free, stack = {id(g) for g in groups if g is not body}, {}, 0, [body]
+    while stack:
+        node = stack.pop()
+        if node.marked or node.tag == "a" or node.tag in HEADINGS:
+            continue
+        if id(node) in alike:
+            found[id(node)] = node
+            continue
+        free += sum(size(c) for c in node.children if isinstance(c, str))
+        stack.extend(c for c in node.children if not isinstance(c, str) and not c.cut)
+    if not free:
+        return
+    for parent in {id(g.parent): g.parent for g in found.values()}.values():
+        before = None
+        for c in parent.children:
+            if isinstance(c, str):
+                before = None if c.strip() else before
+            elif not c.cut:
+                if id(c) in found:
+                    c.marked = True
+                    if before is not None and before.tag in HEADINGS:
+                        before.marked = True
+                before = c
+
+
 def measure(root: Node) -> list[Node]:
     """Count characters, tags, link characters and link tags below each node (cut ones left out); nodes, parents first."""
     order, stack = [], [root]
@@ -360,13 +445,9 @@ def main_text(html: str | None) -> str:
     builder.feed(html)
     builder.close()
     body = builder.body or builder.root
-    if body is not builder.root:
-        late = [c for c in builder.root.children if c is not body and not isinstance(c, str) and not c.cut]
-        body.children.extend(late)  # what stands outside the body belongs to it
-        for c in late:
-            c.parent = body
     body.parent = None
     settle_marks(body)
+    mark_replies(body)
     keep_main(body)
     return "\n\n".join(block_texts(body))
 
