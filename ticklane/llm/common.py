@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Tasks over which the rows of one key are dealt.
 SALTS = 16
+#: Bytes of sampling rates by label that are broadcast at most; more of them meet the rows by a shuffle.
+BROADCAST_RATES = 8 << 20
 BATCH_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
@@ -106,14 +108,18 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) ->
 def fitting_sample(rows: DataFrame, label: str, per_label: int, last: Column | None = None) -> DataFrame:
     """A bounded sample of rows for fitting: about ``per_label`` of each label, chosen by a hash of doc_id, the same ones in
     each run. Rows without an id or a label are left out, and rows for which
-    ``last`` holds make up only for what a label's other rows lack."""
+    ``last`` holds make up only for what a label's other rows lack. Rows don't move where the rates are few."""
     last = F.lit(False) if last is None else last
     usable = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).withColumn("last", last)
     counts = usable.groupBy(label, "last").count().groupBy(label).agg(F.sum("count").alias("all"), F.coalesce(F.sum(F.when(~F.col("last"), F.col("count"))), F.lit(0)).alias("others"))
     lacking = F.greatest(F.lit(0.0), F.lit(float(per_label)) - F.col("others"))
     rates = counts.select(
         label, F.try_divide(F.lit(float(per_label)), F.col("others")).alias("rate"), F.try_divide(lacking, F.col("all") - F.col("others")).alias("last_rate"))
-    rated = salted_lookup(usable, label, F.col("doc_id"), rates).withColumn("rate", F.when(F.col("last"), F.col("last_rate")).otherwise(F.col("rate")))
+    rates = checkpointed(rates)  # a row a label
+    labels, size = rates.agg(F.count("*"), F.sum(F.octet_length(F.col(label).cast("string")))).first()
+    few = labels * 64 + (size or 0) <= BROADCAST_RATES
+    joined = usable.join(F.broadcast(rates), label) if few else salted_lookup(usable, label, F.col("doc_id"), rates)
+    rated = joined.withColumn("rate", F.when(F.col("last"), F.col("last_rate")).otherwise(F.col("rate")))
     spread = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rated.where(spread < F.col("rate")).drop("rate", "last_rate", "last")
 
