@@ -70,3 +70,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Take a file or folder away; nothing happens where none is."""
+    place, fs = _at(spark, path)
+    fs.delete(place, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file or folder, with the folders above its new place; OSError where it isn't done, so that nobody goes on as if it were."""
+    place, fs = _at(spark, old)
+    target, _ = _at(spark, new)
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(place, target):
+        raise OSError(f"{old} was not moved to {new}")
