@@ -1,7 +1,7 @@
 import pytest
 
 from compare import same
-from ticklane import card_queries, limitup_queries, publish_queries, queries, report_queries, response_queries, source_queries, store_queries, study_queries, view_queries  # noqa: F401  they register
+from ticklane import card_queries, followup_queries, limitup_queries, publish_queries, queries, report_queries, response_queries, source_queries, store_queries, study_queries, view_queries  # noqa: F401  they register
 from ticklane.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
