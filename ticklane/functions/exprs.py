@@ -51,6 +51,11 @@ def ratio(a, b) -> Column:
     return col(a) / F.nullif(col(b), F.lit(0.0))
 
 
+def ieee_ratio(a, b) -> Column:
+    """a / b of doubles as IEEE has it: over 0 an infinity of a's sign, and NaN for 0 over 0. Null stays."""
+    return F.when(col(b) == 0, col(a) * F.lit(INFINITY)).otherwise(col(a) / col(b))
+
+
 def percent_return(now, then) -> Column:
     return F.when((col(then) > 0) & (col(now) > 0), 100 * (col(now) / col(then) - 1))
 

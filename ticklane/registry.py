@@ -27,3 +27,8 @@ def R(x: str, digits: int = 4) -> str:  # noqa: N802
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.select(*[X.rounded(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+def rounded_ieee(df: DataFrame, **digits: int) -> DataFrame:
+    """As ``rounded``, but NaN and infinities stay, as they do in R."""
+    return df.select(*[F.when(X.finite(c), X.rounded(c, digits[c])).otherwise(F.col(c)).alias(c) if c in digits else F.col(c) for c in df.columns])
