@@ -26,23 +26,23 @@ def trailing_run(df: DataFrame, key: list[str], index: str, holds: Column, name:
     return df.withColumn(name, F.col(index) - F.coalesce(broken, first - 1))
 
 
-def drawdown(path: Column) -> Column:
+def drawdown(path: Column, zero: bool = False) -> Column:
     """Largest fall from a running peak over an array of structs (v, at), in its order: struct of dd (percent, 0 if it never
     falls), peak and trough (at; null then). New peaks and troughs need a strict move, so the earliest tie stands. Null if
-    any value is missing."""
+    any value is missing, or is 0 unless ``zero``; nothing falls from a peak of 0."""
     none = F.lit(None).cast("string")
     first = F.get(path, F.lit(0))
     start = F.struct(first["v"].cast("double").alias("top"), first["at"].cast("string").alias("top_at"), F.lit(0.0).alias("dd"), none.alias("peak"), none.alias("trough"))
 
     def step(acc: Column, x: Column) -> Column:
-        fall = 100 * (x["v"] / acc["top"] - 1)
+        fall = F.when(acc["top"] == 0, F.lit(0.0)).otherwise(100 * (x["v"] / acc["top"] - 1))
         deeper, higher = fall < acc["dd"], x["v"] > acc["top"]
         return F.struct(
             F.when(higher, x["v"]).otherwise(acc["top"]).cast("double").alias("top"), F.when(higher, x["at"].cast("string")).otherwise(acc["top_at"]).alias("top_at"),
             F.when(deeper, fall).otherwise(acc["dd"]).alias("dd"), F.when(deeper, acc["top_at"]).otherwise(acc["peak"]).alias("peak"), F.when(deeper, x["at"].cast("string")).otherwise(acc["trough"]).alias("trough"),
         )
 
-    complete = F.forall(path, lambda x: F.coalesce(x["v"] > 0, F.lit(False)))
+    complete = F.forall(path, lambda x: F.coalesce((x["v"] >= 0) if zero else (x["v"] > 0), F.lit(False)))
     return F.when(complete & (F.size(path) > 0), F.aggregate(path, start, step))
 
 

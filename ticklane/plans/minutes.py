@@ -26,15 +26,15 @@ def _label(time: Column) -> Column:
     return F.concat_ws(":", F.substring(digits, 1, 2), F.substring(digits, 3, 2))
 
 
-def day_paths(minutes: DataFrame, factors: DataFrame) -> DataFrame:
+def day_paths(minutes: DataFrame, factors: DataFrame, zero: bool = False) -> DataFrame:
     """By code and day of ``factors`` (code, day, factor; null or not above 0: MISSING_FACTOR): status, minutes present and
     traded, the adjusted close's extremes, and the fall inside the day. Minutes: code, day, time (HHMM), close, volume; a bad
     slot, a repeated one, a bad volume or the bad price of a traded minute make the day INVALID_MINUTE; minutes without
-    volume have no price."""
+    volume have no price. A price of 0 is bad unless ``zero``."""
     w = Window.partitionBy("code", "day").orderBy("time")
-    traded = F.col("volume") > 0
+    traded, priced = F.col("volume") > 0, (F.col("close") >= 0) if zero else (F.col("close") > 0)
     bad = ~F.coalesce(slot_valid(F.col("time")), F.lit(False)) | F.coalesce(F.col("time") <= F.lag("time").over(w), F.lit(False))
-    bad = bad | ~F.coalesce(X.finite("volume") & (F.col("volume") >= 0), F.lit(False)) | (F.coalesce(traded, F.lit(False)) & ~F.coalesce(X.finite("close") & (F.col("close") > 0), F.lit(False)))
+    bad = bad | ~F.coalesce(X.finite("volume") & (F.col("volume") >= 0), F.lit(False)) | (F.coalesce(traded, F.lit(False)) & ~F.coalesce(X.finite("close") & priced, F.lit(False)))
     path = F.array_sort(F.collect_list(F.when(traded, F.struct("time", "close"))))  # 240 minutes at most where it is used
     sums = minutes.withColumn("bad", bad).groupBy("code", "day").agg(F.max("bad").alias("bad"), F.count("*").alias("present"), F.count_if(traded).alias("traded"), path.alias("path"))
     rows = factors.join(sums, ["code", "day"], "left")
@@ -44,7 +44,7 @@ def day_paths(minutes: DataFrame, factors: DataFrame) -> DataFrame:
         .when(F.col("traded") == 0, "NO_TRADED_MINUTES").otherwise("OBSERVED")
     )
     seen = F.when(F.col("status") == "OBSERVED", F.transform("path", lambda p: F.struct((p["close"] * F.col("factor")).alias("v"), _label(p["time"]).alias("at"))))
-    rows = rows.withColumn("status", status).withColumn("seen", seen).withColumn("d", drawdown(F.col("seen")))
+    rows = rows.withColumn("status", status).withColumn("seen", seen).withColumn("d", drawdown(F.col("seen"), zero))
     top = F.array_max(F.transform("seen", lambda p: p["v"]))
     low = F.array_min(F.transform("seen", lambda p: p["v"]))
     at = lambda v: F.get(F.filter("seen", lambda p: p["v"] == v), F.lit(0))["at"]
