@@ -15,8 +15,9 @@ def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = both if large else both.where("b < a")
     least = seen.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-    # a large graph's hubs are dealt over several tasks; a small one would only get more shuffle files
-    tied = salted_lookup(seen, "a", F.col("b"), least) if tasks >= SALTS else seen.join(least, "a")
+    # a large graph's hubs are dealt over several tasks; a small one would only get more shuffle files, and a broadcast in each
+    # round would be a job of a task for each partition, whose table the driver holds until it collects its garbage
+    tied = salted_lookup(seen, "a", F.col("b"), least) if tasks >= SALTS else seen.join(least.hint("merge"), "a")
     if large:
         tied = tied.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
