@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from corpus_pipeline import near_dedup
 from ticklane.llm import components as C
 from ticklane.llm.components import _star, components
 
@@ -44,6 +45,14 @@ def test_a_small_graph_takes_no_rounds(spark, monkeypatch):
     assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == set(by_search(edges).items())
 
 
+def test_the_pipelines_near_dedup_takes_no_rounds_on_few_links(spark, monkeypatch):
+    words = [f"word{k}" for k in range(120)]
+    texts = [" ".join([*words[:at], "other", *words[at + 1 :]]) for at in (10, 60, 110)] + ["a text of its own", " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(C, "_star", lambda *_: 1 / 0)
+    assert sorted(r.doc_id for r in near_dedup(spark, docs, "").collect()) == [0, 3]
+
+
 def test_forests_of_several_tasks_are_joined(spark, monkeypatch):
     monkeypatch.setattr(C, "EDGES_A_FOREST", 60)
     rng = np.random.default_rng(8)
